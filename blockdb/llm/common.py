@@ -23,13 +23,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: With it, a query's shuffle files go when the query has ended; its result is in the shared folder by then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back: lineage ends there, executors may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/blockdb/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
+
+
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Delete what `materialize` has written; nothing may read it any more."""
+    _forget(df.sparkSession, _written.pop(id(df))[1])
 
 
 def _forget(spark: SparkSession, path: str) -> None:
