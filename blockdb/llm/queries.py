@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from blockdb.llm import neardup, packing, quality, substrings, topk, toxicity, urls, warc
+from blockdb.llm import mixing, neardup, packing, quality, substrings, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_source_mixing": mixing.query,
     "op3_url_filters": urls.query,
     "op4_quality_rules": quality.query,
     "op5_minhash_near_dedup": neardup.query,
