@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockdb.llm import mixing, neardup, packing, quality, substrings, topk, toxicity, urls, warc
+from blockdb.llm import lm, mixing, neardup, packing, quality, substrings, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_warc": warc.query,
     "op8_topk_search": topk.query,
+    "op9_lm_scoring": lm.query,
     "op10_substring_dedup": substrings.query,
 }
 SQL = {"op3_url_filters": urls.SQL, "op7_warc": warc.SQL, "op8_topk_search": topk.SQL}
