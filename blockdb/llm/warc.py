@@ -30,9 +30,15 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> None:
     groups = facts.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
     groups = common.materialize(groups, "warc-groups")
     # The payload is stored from the row with the largest id of its group, so only repeated digests take part in a shuffle of keys.
-    dropped = facts.join(groups, "digest").where("not (page_id <=> last)").select("digest", "page_id").distinct()
-    stored = rows.select("digest", "page_id", "payload").join(common.materialize(dropped, "warc-dropped"), ["digest", "page_id"], "left_anti")
-    stored.select("digest", "payload").write.parquet(f"{folder}/payloads")
+    dropped = facts.join(groups, "digest").where("not (page_id <=> last)").select("digest", F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNull().alias("none")).distinct()
+    dropped = common.materialize(dropped, "warc-dropped")
+    keyed = rows.select("digest", F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNull().alias("none"), "payload")
+    stored = keyed.join(dropped, ["digest", "id", "none"], "left_anti").select("digest", "payload")
+    ties = facts.join(groups, "digest").where("page_id <=> last").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    ties = common.materialize(ties, "warc-ties")
+    if ties.limit(1).count():  # rows repeated as a whole: one of each is stored
+        stored = stored.join(ties, "digest", "left_anti").unionByName(stored.join(ties, "digest", "left_semi").dropDuplicates(["digest"]))
+    stored.write.parquet(f"{folder}/payloads")
     revisit = F.col("last").isNotNull() & (F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("last"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(BREAK))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
