@@ -80,8 +80,10 @@ def measure_texts(texts: list[str | None]) -> np.ndarray:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are the column `text`, or that field of the column `row`."""
     for batch in batches:
-        found = measure_texts(batch.column("text").to_pylist())
+        texts = batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text").cast(pa.string())
+        found = measure_texts(texts.to_pylist())
         columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "text"]
         names = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[:, j]) for j in range(len(MEASURES)))], [*names, *MEASURES])
@@ -134,7 +136,7 @@ def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of `docs` that a policy keeps, with their columns; one scan, no join."""
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names))
-    marked = docs.select(row.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    marked = docs.select(row.alias("row"))
     schema = ", ".join([f"row {marked.schema['row'].dataType.simpleString()}", *(f"{m} long" for m in MEASURES)])
     out = marked.mapInArrow(_measured, schema).withColumn("fail_bits", fail_bits())
     return apply_policy(out, policy).where("kept").select("row.*")
