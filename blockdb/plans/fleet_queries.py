@@ -14,8 +14,6 @@ query("has_missing", "select s.member as host, count(*) as asked, count(*) - cou
 query("ship_set", """
     select s.hash, s.member as target from {scores} s where s.place <= 2 and s.member = 1
       and exists (select 1 from {host_chunks} h where h.hash = s.hash and h.host = 0) and not exists (select 1 from {host_chunks} t where t.hash = s.hash and t.host = 1)
-    union all
-    select s.hash, s.member as target from {scores} s where s.place <= 2 and s.member = 1 and substring(s.hash, 1, 1) = '7' and exists (select 1 from {chunks} c where c.hash = s.hash and c.image = 0)
 """)
 query("live_union", "select distinct hash from (select hash from {host_chunks} where host = 0 union all select hash from {host_chunks} where host = 1) u")
 query("receipts", "select host, count(distinct hash) as dependencies from (select host, hash from {host_chunks} where substring(hash, 2, 1) < '8' union all select host, hash from {host_chunks} where substring(hash, 2, 1) >= '4') u group by host")

@@ -76,7 +76,7 @@ query("segment_chain", """
            coalesce(epoch >= lag(epoch) over (partition by segment div 4096 order by segment), true) as epoch_ok from {segments}
 """)
 query("identity_check", """
-    select i.event_id, i.seq from (select event_id, seq, start + case when event_id % 101 = 0 then 1 else 0 end as start, blocks from {wal} where event_id % 3 = 0) i
+    select i.event_id, i.seq from (select event_id, seq, start + case when event_id % 101 = 0 then 1 else 0 end as start, blocks from {wal}) i
     left join {wal} w on w.seq = i.seq and w.start = i.start and w.blocks = i.blocks where w.seq is null
 """)
 query("live_tail", """
@@ -114,14 +114,21 @@ query("assemble_16k", f"""
     select image, block div 4 as extent, count(payload) as filled, max(case when block % 4 = 0 then payload end) as b0, max(case when block % 4 = 1 then payload end) as b1, max(case when block % 4 = 2 then payload end) as b2, max(case when block % 4 = 3 then payload end) as b3
     from r group by image, block div 4
 """, lambda spark, sf_dir: read_image(spark, sf_dir).groupBy("image", F.expr("block div 4").alias("extent")).agg(F.count("payload").alias("filled"), *(F.max(F.when(F.col("block") % 4 == i, F.col("payload"))).alias(f"b{i}") for i in range(4))))
-query("read_plan_ranges", """
-    with reads as (select event_id as id, user_id % 4 as image, user_id as lo, user_id + 4 as hi from {events} where event_id % 10 = 0), s as (select image, seq, start, start + blocks as stop from {wal} where event_id % 20 = 3)
-    select r.id, s.seq, greatest(r.lo, s.start) as lo, least(r.hi, s.stop) as hi from reads r join s on s.image = r.image and s.start < r.hi and s.stop > r.lo and s.seq < r.id
-""", lambda spark, sf_dir: run(spark, sf_dir, """
-    with reads as (select event_id as id, user_id % 4 as image, user_id as lo, user_id + 4 as hi, explode(sequence(user_id, user_id + 3)) as block from {events} where event_id % 10 = 0),
-    s as (select image, seq, start, start + blocks as stop, explode(sequence(start, start + blocks - 1)) as block from {wal} where event_id % 20 = 3)
-    select r.id, s.seq, greatest(r.lo, s.start) as lo, least(r.hi, s.stop) as hi from reads r join s on s.image = r.image and s.block = r.block and s.seq < r.id and s.block = greatest(r.lo, s.start)
-"""))
+query("read_plan_ranges", f"""
+    with reads as (select event_id as id, user_id % 4 as image, user_id as lo, user_id + 4 as hi from {{events}}), o as ({OVERLAY}),
+    s as (select image, min(block) as start, max(block) + 1 as stop, seq, max(kind) as kind from (select *, block - row_number() over (partition by image, seq order by block) as island from o) x group by image, seq, island)
+    select r.id, s.seq, s.kind, greatest(r.lo, s.start) as lo, least(r.hi, s.stop) as hi from reads r join s on s.image = r.image and s.start < r.hi and s.stop > r.lo
+""", lambda spark, sf_dir: read_plan(spark, sf_dir))
+
+
+def read_plan(spark, sf_dir):
+    """Reads meet the log's disjoint intervals at the first block that they share; a read has four blocks."""
+    reads = run(spark, sf_dir, "select event_id as id, user_id % 4 as image, user_id as lo, user_id + 4 as hi from {events}").withColumn("block", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
+    staged = wal.intervals(frame(spark, sf_dir, "wal")).withColumn("block", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    both = reads.join(staged, ["image", "block"]).where(F.col("block") == F.greatest("lo", "start"))
+    return both.select("id", "seq", "kind", F.greatest("lo", "start").alias("lo"), F.least("hi", "end").alias("hi"))
+
+
 query("block_lookup", f"""
     with o as ({OVERLAY}), e as (select image, min(block) as start, max(block) + 1 as stop, seq from (select *, block - row_number() over (partition by image, seq order by block) as island from o) r group by image, seq, island),
     probes as (select user_id % 4 as image, user_id * 3 % 200 as block, count(*) as n from {{events}} group by 1, 2)

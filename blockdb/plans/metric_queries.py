@@ -73,14 +73,14 @@ query("schedule_rotate", """
 """)
 query("plan_explode", "select day, arm, kase, count(*) as repetitions, min(rep) as first_rep from {units} group by day, arm, kase having count(*) between 1 and 100000")
 query("campaign_state", """
-    with p as (select distinct day, arm, kase from {units}), r as (select day, arm, kase, count(*) as n, count_if(state = 'F') as done, count_if(state = 'P') as partial_ from {units} where rep % 3 = 0 group by day, arm, kase)
+    with p as (select distinct day, arm, kase from {units}), r as (select day, arm, kase, count(*) as n, count_if(state = 'F') as done, count_if(state = 'P') as partial_ from {units} group by day, arm, kase)
     select p.day, p.arm, p.kase, case when r.n is null then 'run' when r.partial_ > 0 then 'refuse' when r.done = r.n then 'skip' else 'rerun' end as decision from p left join r on r.day = p.day and r.arm = p.arm and r.kase = p.kase
 """)
 query("capacity_groups", "select lang as top, count(*) as files, cast(sum(n_chars) as bigint) as bytes, cast(sum(cast(ceil(n_chars / 4096.0) as bigint) * 4096) as bigint) as allocated from {documents} group by lang")
 query("peak_memory", "with s as (select done_us div 60000000 as sample, guest, max(k) as pss from {reads} group by 1, 2), t as (select sample, sum(pss) as total, count(*) as guests from s group by sample) select cast(max(total) as bigint) as peak, count(*) as samples, max(guests) as most_guests from t")
 query("counter_delta", "select guest, cast(max_by(bytes, n) - min_by(bytes, n) as bigint) as bytes, cast(max_by(gets, n) - min_by(gets, n) as bigint) as gets, max_by(gets, n) < min_by(gets, n) as reset from {samples} group by guest")
 query("ship_window", "select guest as owner, count(*) as windows, cast(sum(k) as bigint) as chunks, count_if(id % 6 = 0) as rescans, cast(sum(case when id % 6 <> 0 then ns end) as double) / nullif(count_if(id % 6 <> 0), 0) as mean_ns from {reads} group by guest")
-query("working_set", "with a as (select guest, min(received) as anchor from {milestones} group by guest), w as (select guest, min(received) as started, max(completed) as ended, count(*) as commands from {milestones} where id % 3 = 0 group by guest) select w.guest, w.commands, w.ended - w.started as replay_ns, w.ended - a.anchor as time_to_working_set_ns from w join a on a.guest = w.guest")
+query("working_set", "with a as (select guest, min(received) as anchor from {milestones} group by guest), w as (select guest, min(received) as started, max(completed) as ended, count(*) as commands from {milestones} group by guest) select w.guest, w.commands, w.ended - w.started as replay_ns, w.ended - a.anchor as time_to_working_set_ns from w join a on a.guest = w.guest")
 query("clock_bracket", """
     with r as (select guest, received - 1000000000 - 500 as ring_received, completed - 1000000000 - 500 as ring_completed, received - 2000 as started, completed + 3000 as ended, case when id % 7 = 0 then 2 else 1 end as records from {milestones})
     select guest, max(case when records = 1 then started - ring_received end) as lower_ns, min(case when records = 1 then ended - ring_completed end) as upper_ns, count_if(records = 1) as used, count_if(records <> 1) as ambiguous from r group by guest

@@ -5,12 +5,12 @@ from __future__ import annotations
 from blockdb.plans.registry import query
 
 query("chunk_index_rebuild", "select hash, segment, ordinal, len from {store_index}")
-query("locate_chunks", "select c.image, c.pos, c.hash, i.segment, i.ordinal from {chunks} c left join {store_index} i on i.hash = c.hash where c.hash is not null and c.image % 5 = 1")
+query("locate_chunks", "select c.image, c.pos, c.hash, i.segment, i.ordinal from {chunks} c left join {store_index} i on i.hash = c.hash where c.hash is not null")
 query("insert_missing", """
     with have as (select distinct hash from {chunks} where image < 10), incoming as (select hash, len from {chunks} where image >= 10 and hash is not null), d as (select hash, min(len) as len, count(*) as n from incoming group by hash)
     select count(case when h.hash is null then 1 end) as written, cast(coalesce(sum(case when h.hash is null then d.len end), 0) as bigint) as written_bytes, cast(sum(case when h.hash is null then d.n - 1 else d.n end) as bigint) as reused from d left join have h on h.hash = d.hash
 """)
-query("verify_chunks", "select c.doc_id, c.k, sha2(substring(d.text, c.k * 64 + 1, 64), 256) = c.hash as ok from {chunks} c join {documents} d on d.doc_id = c.doc_id where c.hash is not null and c.image = 2")
+query("verify_chunks", "select c.doc_id, c.k, sha2(substring(d.text, c.k * 64 + 1, 64), 256) = c.hash as ok from {chunks} c join {documents} d on d.doc_id = c.doc_id where c.hash is not null")
 query("dangling_refs", "select r.image, count(*) as missing from {refs} r left join (select distinct hash from {chunk_log} where segment % 16 <> 5) l on l.hash = r.hash where l.hash is null group by r.image")
 query("store_status", "select count(distinct hash) as chunks, count(distinct segment) as segments, cast(sum(len) as bigint) as encoded_bytes, 65.6 * count(distinct hash) / nullif(count(distinct hash), 0) as index_bytes_per_chunk from {chunk_log}")
 query("address_pack", "select hash, shiftleft(segment, 16) + ordinal as address, shiftright(shiftleft(segment, 16) + ordinal, 16) as segment, (shiftleft(segment, 16) + ordinal) % 65536 as ordinal from {store_index} where ordinal < 65536")

@@ -119,8 +119,8 @@ view(
     from (select distinct hash from {chunks} where hash is not null) h cross join {members} m
     """,
 )
-#: Hosts' chunks: host n keeps what it owns with k = 2, except for one hash in sixteen.
-view("host_chunks", "select member as host, hash from {scores} where place <= 2 and substring(hash, 1, 1) <> '7'")
+#: Hosts' chunks: a host keeps what it owns with k = 2, except for one hash in sixteen, another one on each host.
+view("host_chunks", "select member as host, hash from {scores} where place <= 2 and substring(hash, 1 + member, 1) <> '7'")
 #: Latencies in ns, counters and reasons from events.
 view(
     "reads",
