@@ -93,28 +93,37 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 250, rate: float =
 
     Adam's epsilon is of the penalty's size, so that words whose slope is small, as those of few documents, move little.
     """
-    s = sentences(texts)
     n = len(texts)
-    pair = np.unique(s.sentence * FEATURES + s.feature)  # a word counts once in a sentence
-    sent, feature = pair // FEATURES, pair % FEATURES
-    often = np.bincount(np.unique(s.doc[sent] * FEATURES + feature) % FEATURES, minlength=FEATURES) >= 3
+    parts, owners, frequency, so_far = [], [], np.zeros(FEATURES, np.int64), 0
+    for a, b in text.blocks(texts):
+        s = sentences(texts[a:b])
+        pair = np.unique(s.sentence * FEATURES + s.feature)  # a word counts once in a sentence
+        at, word = pair // FEATURES, pair % FEATURES
+        frequency += np.bincount(np.unique(s.doc[at] * FEATURES + word) % FEATURES, minlength=FEATURES)
+        parts.append(((at + so_far).astype(np.int32), word.astype(np.int32)))
+        owners.append((s.doc + a).astype(np.int32))
+        so_far += len(s.doc)
+    doc = np.concatenate(owners)
+    often = frequency >= 3
+    sent, feature = (np.concatenate([p[j][often[p[1]]] for p in parts]) for j in (0, 1))
+    del parts
     hold = np.arange(n) % 5 == 4
-    keep = often[feature] & ~hold[s.doc[sent]]
-    sent, feature = sent[keep], feature[keep]
-    live = ~hold[s.doc]
+    live = ~hold[doc]
     share = np.where(labels == 1, 0.5 / max(1, (labels[~hold] == 1).sum()), 0.5 / max(1, (labels[~hold] == 0).sum()))
     theta = np.zeros(FEATURES + 1)
     theta[-1] = -5
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    first_slope = np.bincount(feature, weights=(np.where(labels == 1, 1.0 / np.maximum(np.bincount(s.doc, minlength=n), 1), 0.01) * share)[s.doc[sent]], minlength=FEATURES)
+    even = np.where(labels == 1, 1.0 / np.maximum(np.bincount(doc, minlength=n), 1), 0.01) * share * ~hold
+    first_slope = np.bincount(feature, weights=even[doc[sent]], minlength=FEATURES)
     keep = (first_slope > sparse / 2)[feature]  # others would stay at 0
     sent, feature = sent[keep], feature[keep]
+    documents = lambda z: np.bincount(doc, weights=softplus(z), minlength=n)
     for t in range(1, rounds + 1):
-        z = np.bincount(sent, weights=theta[feature], minlength=len(s.doc)) + theta[-1]
+        z = np.bincount(sent, weights=theta[feature], minlength=len(doc)) + theta[-1]
         p = 1 / (1 + np.exp(-z))
-        total = np.maximum(np.bincount(s.doc, weights=softplus(z), minlength=n), 1e-9)
+        total = np.maximum(documents(z), 1e-9)
         slope = np.where(labels == 1, -1 / np.expm1(np.minimum(total, 50)), 1.0) * share
-        g = p * slope[s.doc] * live
+        g = p * slope[doc] * live
         grad = np.append(np.bincount(feature, weights=g[sent], minlength=FEATURES), g.sum())
         w, d = theta[:-1], grad[:-1]
         grad[:-1] = np.where(w != 0, d + sparse * np.sign(w), np.sign(d) * np.maximum(np.abs(d) - sparse, 0))
@@ -125,7 +134,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 250, rate: float =
         new[:-1] = np.where((w != 0) & (np.sign(new[:-1]) != np.sign(w)), 0, new[:-1])
         theta = new
     model = Model(theta[:-1].astype(np.float32), float(theta[-1]), 1.0)
-    score, _ = model.score(s, n)
+    score = -np.expm1(-documents(np.bincount(sent, weights=theta[feature], minlength=len(doc)) + theta[-1]))
     use = hold if len(set(labels[hold].tolist())) == 2 else np.ones(n, bool)
     order = np.sort(score[use])
     cuts = (order[1:] + order[:-1]) / 2
