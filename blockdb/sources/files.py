@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import json
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIZES = (4096, 16384)
+from blockdb.sources import images
 
 
 def image_chunks(spark: SparkSession, paths: list[str], size: int = 4096) -> DataFrame:
-    """image (the path's number in `paths`), pos, hash (SHA-256; null for a chunk of zeros), len. A short tail keeps its length.
-
-    Files are read whole by their task, as `binaryFile` does; images larger than a task's memory should be split before.
-    """
-    if size not in SIZES or not paths:
-        raise ValueError("a census needs images, and chunks of 4096 or 16384 bytes")
-    order = {p.rstrip("/").rpartition("/")[2]: i for i, p in enumerate(paths)}
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                for a in range(0, len(content), size * 4096):
-                    parts = [content[i : i + size] for i in range(a, min(len(content), a + size * 4096), size)]
-                    hashes = [hashlib.sha256(p).hexdigest() if p.strip(b"\0") else None for p in parts]
-                    image = order[path.rpartition("/")[2]]
-                    yield pa.RecordBatch.from_arrays([pa.array([image] * len(parts), pa.int32()), pa.array(range(a // size, a // size + len(parts)), pa.int64()), pa.array(hashes, pa.string()), pa.array([len(p) for p in parts], pa.int64())], ["image", "pos", "hash", "len"])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(cut, "image int, pos long, hash string, len long")
+    """image (the path's number in `paths`), pos, hash, len: see `images.ImageSource`, which cuts large images into ranges."""
+    spark.dataSource.register(images.ImageSource)
+    return spark.read.format("blocks").option("paths", json.dumps(paths)).option("size", size).load()
 
 
 def telemetry(spark: SparkSession, folder: str, schema: str, stream: bool = False) -> DataFrame:

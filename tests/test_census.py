@@ -1,7 +1,11 @@
 """Census fixtures with known results, and the additive identities."""
 
+import json
+
+import pytest
+
 from blockdb.operators import census
-from blockdb.sources import files
+from blockdb.sources import files, images
 
 UNIT = 4096
 
@@ -36,3 +40,16 @@ def test_files(spark, tmp_path):
     (tmp_path / "b").write_bytes(b"\0" * 4096 + b"abc")
     rows = files.image_chunks(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).orderBy("image", "pos").collect()
     assert [(r.image, r.pos, r.hash is None, r.len) for r in rows] == [(0, 0, False, 4096), (0, 1, False, 4096), (1, 0, True, 4096), (1, 1, False, 3)]
+
+
+def test_image_source(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").write_bytes(b"x" * 5000 + b"\0" * 3192 + b"tail")
+    (tmp_path / "b").write_bytes(b"")
+    spark.dataSource.register(images.ImageSource)
+    load = lambda paths, size=4096: spark.read.format("blocks").option("paths", json.dumps(paths)).option("size", size).load()
+    rows = load([str(tmp_path / "a"), str(tmp_path / "b")]).orderBy("image", "pos").collect()
+    assert [(r.image, r.pos, r.hash is None, r.len) for r in rows] == [(0, 0, False, 4096), (0, 1, False, 4096), (0, 2, False, 4)]
+    assert len(load([f"file://{tmp_path}/a"], 16384).collect()) == 1
+    for paths, size in (([], 4096), ([str(tmp_path)], 4096), ([str(tmp_path / "none")], 4096), ([str(tmp_path / "a")], 8192)):
+        with pytest.raises(Exception):
+            load(paths, size).collect()
