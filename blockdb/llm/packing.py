@@ -82,7 +82,11 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int
 class Tokens:
     """Ids of texts: each distinct word is encoded once; the vocabulary's rules drop white space, so words don't affect one another."""
 
-    MOST = 600_000
+    MOST = 1_200_000
+    MARK, MARK_ID = "<|startoftext|>", 49406  # a special token of the vocabulary: it parts the words of one call
+    LETTER, POINT = np.zeros(256, bool), np.zeros(256, bool)
+    LETTER[97:123] = True
+    POINT[list(b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\")] = True
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -96,9 +100,18 @@ class Tokens:
         self.at, self.size, self.ids, self.n, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0, 0
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
-        encoded = [e.ids for e in self.encoder.encode_batch(words, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in encoded], np.int64)
-        flat = np.array([i for x in encoded for i in x], np.uint32)
+        ids: list[int] = []
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            if any("<|" in x for x in part):
+                ids += [i for e in self.encoder.encode_batch(part, add_special_tokens=False) for i in (*e.ids, -1)]
+            else:
+                joined = self.encoder.encode(self.MARK.join(part), add_special_tokens=False).ids
+                ids += [*(-1 if i == self.MARK_ID else i for i in joined), -1]
+        flat = np.array(ids, np.int64)
+        ends = np.flatnonzero(flat < 0)
+        sizes = np.diff(ends, prepend=-1) - 1
+        flat = flat[flat >= 0].astype(np.uint32)
         while len(self.at) < self.n + len(keys):
             self.at, self.size = np.concatenate((self.at, self.at)), np.concatenate((self.size, self.size))
         while len(self.ids) < self.used + len(flat):
@@ -112,21 +125,36 @@ class Tokens:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for a, b in text.blocks(texts):
-            words = text.scan(texts[a:b])
+            # The vocabulary's rules lower all case, and always part a word's last points from a letter before them.
+            special = any("<|" in (t or "") for t in texts[a:b])
+            words = text.scan(texts[a:b], lower=not special)
+            start, end, cut = words.start, words.end, np.zeros(len(words.start), bool)
+            if not special:
+                stem = end.copy()
+                for _ in range(4):
+                    stem -= (stem - start > 1) & self.POINT[words.data[stem - 1]]
+                cut = (stem < end) & self.LETTER[words.data[stem - 1]]
+                stem = np.where(cut, stem, end)
+                first = np.arange(len(start)) + np.cumsum(cut) - cut
+                both = np.empty((2, len(start) + int(cut.sum())), np.int64)
+                both[0, first], both[1, first] = start, stem
+                both[0, first[cut] + 1], both[1, first[cut] + 1] = stem[cut], end[cut]
+                start, end = both
+            begin = words.first + np.concatenate(([0], np.cumsum(cut)))[words.first]
             if len(self.known) > self.MOST:
                 self.clear()
-            keys, one, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+            keys, one, inverse = np.unique(words.span_hash(start, end), return_index=True, return_inverse=True)
             keys = keys.tolist()
             new = [i for i, key in enumerate(keys) if key not in self.known]
             if new:
                 raw = words.data.tobytes()
                 where = one[new]
-                self._learn([keys[i] for i in new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(words.start[where].tolist(), words.end[where].tolist())])
+                self._learn([keys[i] for i in new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[where].tolist(), end[where].tolist())])
             entry = np.array([self.known[key] for key in keys], np.int64)[inverse] if keys else np.zeros(0, np.int64)
             size = self.size[entry]
             # Each text ends with the end id, which takes the place after its last word.
             places = np.concatenate(([0], np.cumsum(size)))
-            begin = places[words.first]
+            begin = places[begin]
             total = int(places[-1])
             source = np.repeat(self.at[entry] - places[:-1], size) + np.arange(total)
             flat = self.ids[source]
