@@ -15,7 +15,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; a longer text is handled alone.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_500_000
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
