@@ -82,7 +82,7 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int
 class Tokens:
     """Ids of texts: each distinct word is encoded once; the vocabulary's rules drop white space, so words don't affect one another."""
 
-    MOST = 1_200_000
+    MOST = 500_000
     MARK, MARK_ID = "<|startoftext|>", 49406  # a special token of the vocabulary: it parts the words of one call
     LETTER, POINT = np.zeros(256, bool), np.zeros(256, bool)
     LETTER[97:123] = True

@@ -6,10 +6,12 @@ finished by an avalanche step, so equal words have equal hashes in every process
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -104,6 +106,15 @@ def blocks(texts: list[str | None], most: int = BLOCK_BYTES) -> Iterator[tuple[i
         total += n
     if at < len(texts):
         yield at, len(texts)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between steps and should hold no more than they use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def windows(words: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
