@@ -5,9 +5,9 @@ base near 1; registers merge by their maximum and agree with a chance near the J
 drawing stops when its next point is beyond every register.
 
 Copies of one set are one node, its smallest doc_id. Nodes that share a band's registers form a bucket. First each bucket's members are held against its
-smallest one, which is a row a member. The links found give components; buckets with one component are settled. In the others, all members of different
-components are held against one another in blocks of registers, inside a task, and only pairs that the likelihood calls similar come out. Links are confirmed
-on full sets, and components are joined anew. So no link of a bucket is lost, while a group of thousands of copies costs rows in proportion to its size.
+smallest one, which is a row a member. The links found give components; buckets with one component are settled. In the others, members of different
+components are held against one another in blocks of registers, inside a task, and only pairs that the likelihood calls similar come out: first the few most alike of
+each member, which settles most buckets, then all pairs of components that are still apart. Links are confirmed on full sets, and components are joined anew. So no link of a bucket is lost, while a group of thousands of copies costs rows in proportion to its size.
 With 32 bands of 4 registers, a pair at 0.75 shares no bucket with a chance of 5e-6.
 
 Nulls and edges: a null or wordless text has an empty set and links with nothing; with fewer words than five the whole sequence is one shingle. A null doc_id
@@ -29,11 +29,11 @@ from blockdb.llm import common, text
 SHINGLE = 5
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
-BASE, RATE, TOP = 1.001, 20.0, 65534
+BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: A pair at 0.75 has an estimate below this with a chance of about 1e-7: it is over five standard deviations away.
 PLAUSIBLE = 0.55
 #: Members compared in one task at once, and members that share one copy of a hub.
-BLOCK, SPOKES = 512, 128
+BLOCK, SPOKES, TOP = 512, 128, 4
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +72,7 @@ def registers(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
         live = np.flatnonzero(time < least.max(axis=1)[doc])
         doc, state, time = doc[live], state[live], time[live]
     with np.errstate(divide="ignore"):
-        return np.where(np.isfinite(least), np.clip(np.floor(1 - np.log(least / RATE) / np.log(BASE)), 0, TOP + 1), 0).astype(np.uint16)
+        return np.where(np.isfinite(least), np.clip(np.floor(1 - np.log(least / RATE) / np.log(BASE)), 0, LIMIT + 1), 0).astype(np.uint16)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for j in range(ROWS):
             key = text.mix(key * text.U(text.BASE) + regs[:, :, j])
         take = pa.array(np.repeat(np.arange(n), BANDS))
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), batch.column("doc_id").take(take), batch.column("n_shingles").take(take)], ["bucket", "id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), batch.column("doc_id").take(take), batch.column("n_shingles").take(take), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n))], ["bucket", "id", "n", "band"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +129,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([h[s:e].tobytes() for s, e in zip(begin[:-1], begin[1:])], pa.binary())], ["id", "data"])
 
 
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets by 32 bits a shingle: enough to leave only few pairs to be confirmed on full sets."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for a, b in text.blocks(texts):
+            h, begin = shingle_sets(texts[a:b])
+            short = (h >> text.U(32)).astype(np.uint32)  # sorted, as the hashes are
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([short[s:e].tobytes() for s, e in zip(begin[:-1], begin[1:])], pa.binary())], ["id", "short"])
+
+
 def _similar_registers(hub: bytes, hub_n: int, data: list[bytes], n: list[int]) -> np.ndarray:
     regs = np.frombuffer(b"".join(data), np.uint16).reshape(len(data), REGISTERS)
     return estimate(np.frombuffer(hub, np.uint16)[None, :], regs, np.full(len(n), hub_n, float), np.array(n, float)) >= PLAUSIBLE
@@ -196,8 +206,29 @@ def parted(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.join(sizes, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Similar pairs of different labels within each cell (bucket, x, y); rows of a cell are of block x or y."""
+def _likely(one: np.ndarray, one_n: float, regs: np.ndarray, n: np.ndarray, top: int | None) -> np.ndarray:
+    """Which rows are similar to one by the likelihood; with `top`, only the most alike of them."""
+    same = (regs == one).sum(axis=1)
+    at = np.flatnonzero((same >= REGISTERS // 2) & (4 * np.minimum(n, one_n) >= 3 * np.maximum(n, one_n)))  # at 0.75, under half agree with a chance of 1e-9
+    if top and len(at) > top:
+        at = at[np.argsort(-same[at], kind="stable")[:top]]
+    return at[estimate(one[None, :], regs[at], np.full(len(at), one_n), n[at]) >= PLAUSIBLE]
+
+
+def _nearly(a: bytes, b: bytes) -> bool:
+    one, other = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    at = np.searchsorted(one, other)
+    at[at == len(one)] = 0
+    both = int((one[at] == other).sum())
+    return 1000 * both >= 740 * (len(one) + len(other) - both)
+
+
+def _across(batches: Iterator[pa.RecordBatch], top: int | None) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of different labels within each cell (bucket, x, y); rows of a cell are of block x or y.
+
+    Members of the cell's commonest label differ from those of the others only, so the others are gone through, each against all. With `top`, the
+    most alike of each come out. Without, all that are similar by short sets do; a pair is tried in the first band that it shares alone.
+    """
     cell: tuple | None = None
     rows: list[tuple] = []
 
@@ -205,28 +236,24 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cell is None or len({r[2] for r in rows}) < 2:
             return []
         _, x, y = cell
-        left = [r for r in rows if r[0] == x]
-        right = left if x == y else [r for r in rows if r[0] == y]
-        unpack = lambda part: (np.array([r[1] for r in part]), np.array([r[2] for r in part]), np.array([r[3] for r in part], float), np.frombuffer(b"".join(r[4] for r in part), np.uint16).reshape(-1, REGISTERS))
-        if not left or not right:
-            return []
-        (ids, labels, n, regs), (ids2, labels2, n2, regs2), hub = unpack(left), unpack(right), rows[0][5]
+        block, ids, labels = (np.array([r[j] for r in rows]) for j in range(3))
+        n, regs = np.array([r[3] for r in rows], float), np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        values, which = np.unique(labels, return_inverse=True)
+        rare = which != np.bincount(which).argmax()
         out = []
-        for i in range(len(ids)):
-            if ids[i] == hub:  # has been held against all
-                continue
-            near = (labels2 != labels[i]) & (ids2 != hub) & (4 * np.minimum(n2, n[i]) >= 3 * np.maximum(n2, n[i]))
-            j = np.flatnonzero(near & (ids2 > ids[i]) if x == y else near)
-            for s in range(0, len(j), 4096):
-                k = j[s : s + 4096]
-                k = k[estimate(regs[i][None, :], regs2[k], np.full(len(k), n[i]), n2[k]) >= PLAUSIBLE]
-                out += [(int(min(ids[i], q)), int(max(ids[i], q))) for q in ids2[k]]
+        for i in np.flatnonzero(rare & (ids != rows[0][5])):  # the bucket's smallest has been held against all
+            k = np.flatnonzero((labels != labels[i]) & (block == (y if block[i] == x else x)) & (~rare | (ids > ids[i])))
+            k = k[_likely(regs[i], n[i], regs[k], n[k], top)]
+            if not top:
+                shared = (regs[k].reshape(-1, BANDS, ROWS) == regs[i].reshape(BANDS, ROWS)).all(axis=2).argmax(axis=1)
+                k = [j for j in k[shared == rows[0][6]] if _nearly(rows[i][7], rows[j][7])]
+            out += [(int(min(ids[i], q)), int(max(ids[i], q))) for q in ids[k]]
         return out
 
     found: list[tuple[int, int]] = []
     emit = lambda: pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", "block", "id", "label", "n", "regs", "hub"))):
+        for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", "block", "id", "label", "n", "regs", "hub", "band", "short"))):
             if r[:3] != cell:
                 found += finish()
                 cell, rows = r[:3], []
@@ -270,7 +297,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = facts.join(nodes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
     sketches = common.materialize(sketches.select("doc_id", "n_shingles", "regs"), "neardup-sketches")
     # Buckets of two nodes or more, each with its smallest node.
-    rows = common.materialize(sketches.mapInArrow(_bands, "bucket long, id long, n long"), "neardup-bands")
+    rows = common.materialize(sketches.mapInArrow(_bands, "bucket long, id long, n long, band int"), "neardup-bands")
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = common.materialize(rows.join(common.materialize(buckets, "neardup-buckets"), "bucket"), "neardup-members")
     data = sketches.select(F.col("doc_id").alias("id"), F.col("regs").alias("data"), F.col("n_shingles").alias("n"))
@@ -281,18 +308,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ties = facts.where("n_shingles > 0").join(common.materialize(several.select("doc_id"), "neardup-several"), "doc_id", "left_semi").join(nodes, "key")
     links = links.unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
     labels = components(links)
-    # Buckets that still hold several components.
-    named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = common.materialize(named, "neardup-named")
-    open_ = common.materialize(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "neardup-open")
+    # Buckets that still hold several components: first the most alike of their members are tried, which settles most, then all that may be links.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cells = named.where("size > 2").join(open_, "bucket", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    cells = cells.join(data.select("id", F.col("data").alias("regs")), "id").select("bucket", "x", "y", "block", "id", "label", "n", "regs", "hub")
-    cells = cells.repartition(common.partitions(docs.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    more = common.materialize(cells.mapInArrow(_across, "a long, b long").distinct(), "neardup-across")
-    if more.limit(1).count():
-        labels = components(links.unionByName(confirm(more, docs, "neardup-more")))
+    for top in (TOP, None):
+        named = common.materialize(members.where("size > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "neardup-named")
+        open_ = common.materialize(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "neardup-open")
+        cells = named.join(open_, "bucket", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+        cells = cells.join(data.select("id", F.col("data").alias("regs")), "id")
+        if top:
+            cells = cells.withColumn("short", F.lit(None).cast("binary"))
+        else:
+            wanted = common.materialize(named.join(open_, "bucket", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "neardup-wanted")
+            short = common.text_rows(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_short_sets, "id long, short binary")
+            cells = cells.join(common.materialize(short, "neardup-short"), "id")
+        cells = cells.select("bucket", "x", "y", "block", "id", "label", "n", "regs", "hub", "band", "short")
+        cells = cells.repartition(common.partitions(docs.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+        more = common.materialize(cells.mapInArrow(partial(_across, top=top), "a long, b long").distinct(), "neardup-across")
+        if not more.limit(1).count():
+            break
+        links = common.materialize(links.unionByName(confirm(more, docs, "neardup-more")), "neardup-all")
+        labels = components(links)
     found = common.materialize(nodes.join(labels, nodes.rep == labels.id, "left").select("key", F.coalesce("label", "rep").alias("component")), "neardup-found")
     out = facts.select("doc_id", "n_shingles", "key").join(found, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
