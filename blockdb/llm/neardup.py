@@ -33,7 +33,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: A pair at 0.75 has an estimate below this with a chance of about 1e-7: it is over five standard deviations away.
 PLAUSIBLE = 0.55
 #: Members compared in one task at once, and members that share one copy of a hub.
-BLOCK, SPOKES, TOP = 512, 128, 4
+BLOCK, SPOKES, TOP = 1024, 128, 4
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
