@@ -364,3 +364,21 @@ def test_spelling_is_a_distribution():
     data = np.frombuffer(b" ".join([b"a", b"zz", b"b", b""]), np.uint8)
     scores = model.words(data, np.array([0, 2, 5]), np.array([1, 4, 6]))
     assert np.allclose(scores, [10 * math.log10(0.5), 15 * math.log10(0.5), 10 * math.log10(0.5)])
+
+
+def test_lm_learns_from_every_block():
+    """Every bit that a task counts has also taught its mixer, whatever the number of blocks and words."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    words = [f"{a}{b}{c}{d}" for a in "abcdefghijklm" for b in "aeiouy" for c in "nopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"]  # 26,364
+    texts = [" ".join(words[i : i + 9000]) for i in range(0, len(words), 9000)] + ["short one"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([t]), pa.array([True])], ["chunk", "text", "train"]) for t in texts]
+    top = lm.TopWords.build(np.array([7, 9], lm.text.U), np.array([5, 3]), 100)
+    for out, contexts in ((lm._word_tables(iter(batches), SimpleNamespace(value=top)), lm.WORD_CONTEXTS), (lm._gather(iter(batches), 4), len(lm.ORDERS))):
+        rows = [r for b in out for r in b.to_pylist()]
+        counted = sum(int(np.frombuffer(r["b"], np.int32).sum()) for r in rows if r["kind"] == 1)
+        cells = lm.REFINED * lm.BUCKETS * 2
+        learned = sum(int(np.frombuffer(r["a"], f"i{len(r['a']) // cells}").sum()) for r in rows if r["kind"] == 3)
+        assert learned * contexts == counted > 0
