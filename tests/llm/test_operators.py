@@ -382,3 +382,15 @@ def test_lm_learns_from_every_block():
         cells = lm.REFINED * lm.BUCKETS * 2
         learned = sum(int(np.frombuffer(r["a"], f"i{len(r['a']) // cells}").sum()) for r in rows if r["kind"] == 3)
         assert learned * contexts == counted > 0
+
+
+def test_lm_capacity_grows(spark, docs, monkeypatch):
+    """More training text gets more slots and more frequent tokens, and is scored with them."""
+    assert lm.capacity(0) == lm.capacity(1 << 27) == (lm.SLOTS, lm.TOP_WORDS)
+    assert lm.capacity(1 << 29) == (2 * lm.SLOTS, 2046) and lm.capacity(30 << 30) == (16 * lm.SLOTS, 16382)
+    monkeypatch.setattr(lm, "SMALL_BYTES", 1 << 10)
+    seen = []
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: seen.append(train(*a)) or seen[-1])
+    assert all(r.score < 0 and math.isfinite(r.score) for r in lm.score(docs, lm.F.lit(True)).collect())
+    assert len(seen) == 2 and all(m.inputs.shape[1] > lm.SLOTS for m in seen)
