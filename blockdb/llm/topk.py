@@ -96,15 +96,26 @@ class Search:
             i, j, score = i[keep], j[keep], score[keep]
         else:
             whole = q @ x.T
+            own = ids[None, :] == self.ids[a:b, None]
+            whole[own] = -np.inf
             floor = least
-            if x.shape[0] > self.k + 1:
-                floor = np.maximum(least, np.partition(whole, x.shape[0] - self.k - 1, axis=1)[:, x.shape[0] - self.k - 1])  # one more, for the query itself
-            i, j = np.nonzero(whole >= floor[:, None])
+            order = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.diff(ids[order], prepend=ids[order[0]] - 1))
+            if len(first) >= self.k:
+                best = whole if len(first) == len(ids) else np.maximum.reduceat(whole[:, order], first, axis=1)  # a repeated id counts once
+                floor = np.maximum(least, np.partition(best, best.shape[1] - self.k, axis=1)[:, best.shape[1] - self.k])
+            i, j = np.nonzero((whole >= floor[:, None]) & ~own)
             score = whole[i, j]
         other = ids[j] != self.ids[a + i]
         self.q, self.score, self.found = (np.concatenate(p) for p in ((self.q, a + i[other]), (self.score, score[other]), (self.found, ids[j[other]])))
 
     def _trim(self) -> None:
+        """The k best ids of each query, each by its best score."""
+        order = np.lexsort((-self.score, self.found, self.q))
+        once = np.ones(len(order), bool)
+        once[1:] = (np.diff(self.q[order]) != 0) | (np.diff(self.found[order]) != 0)
+        order = order[once]
+        self.q, self.score, self.found = self.q[order], self.score[order], self.found[order]
         order = np.lexsort((self.found, -self.score, self.q))
         q = self.q[order]
         first = np.searchsorted(q, np.arange(len(self.ids)))

@@ -394,3 +394,28 @@ def test_lm_capacity_grows(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "train", lambda *a: seen.append(train(*a)) or seen[-1])
     assert all(r.score < 0 and math.isfinite(r.score) for r in lm.score(docs, lm.F.lit(True)).collect())
     assert len(seen) == 2 and all(m.inputs.shape[1] > lm.SLOTS for m in seen)
+
+
+def test_topk_repeated_ids(spark):
+    """Of a repeated id the best score counts, and its copies push no other id out; a query's own rows are never found."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    ids = list(range(300))
+    for i in (1, 2, 3):
+        ids += [i] * 60
+        x = np.concatenate((x, np.tile(4 * x[20 * i], (60, 1))))
+    ids += [0] * 40
+    x = np.concatenate((x, np.tile(5 * x[0], (40, 1))))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<float>").coalesce(1)
+    q = np.floor(64 * x.astype(np.float64)).astype(np.int64)
+    scores, want = q @ q.T, set()
+    asked = [0, 20, 40, 60]
+    for i in asked:
+        best = {}
+        for a in np.flatnonzero(np.array(ids) == i):
+            for j, d in enumerate(ids):
+                if d != i:
+                    best[d] = max(best.get(d, -(10**18)), int(scores[a, j]))
+        order = sorted(best, key=lambda d: (-best[d], d))[:20]
+        want |= {(i, n + 1, d, best[d]) for n, d in enumerate(order)}
+    assert {tuple(r) for r in topk.search(df, df.where("vec_id in (0, 20, 40, 60)")).collect()} == want
