@@ -3,6 +3,13 @@
 from __future__ import annotations
 
 from blockdb.plans.registry import query
+from blockdb.plans.views import run
+
+#: A segment's number rises by 64, the number of segments, when its 65536 ordinals are used up; no chunk is left out.
+ADDRESSES = """
+    select hash, shiftleft(segment, 16) + ordinal as address, segment, ordinal
+    from (select hash, segment + 64 * (ordinal div 65536) as segment, ordinal % 65536 as ordinal from {store_index}) x
+"""
 
 query("chunk_index_rebuild", "select hash, segment, ordinal, len from {store_index}")
 query("locate_chunks", "select c.image, c.pos, c.hash, i.segment, i.ordinal from {chunks} c left join {store_index} i on i.hash = c.hash where c.hash is not null")
@@ -13,7 +20,8 @@ query("insert_missing", """
 query("verify_chunks", "select c.doc_id, c.k, sha2(substring(d.text, c.k * 64 + 1, 64), 256) = c.hash as ok from {chunks} c join {documents} d on d.doc_id = c.doc_id where c.hash is not null")
 query("dangling_refs", "select r.image, count(*) as missing from {refs} r left join (select distinct hash from {chunk_log} where segment % 16 <> 5) l on l.hash = r.hash where l.hash is null group by r.image")
 query("store_status", "select count(distinct hash) as chunks, count(distinct segment) as segments, cast(sum(len) as bigint) as encoded_bytes, 65.6 * count(distinct hash) / nullif(count(distinct hash), 0) as index_bytes_per_chunk from {chunk_log}")
-query("address_pack", "select hash, shiftleft(segment, 16) + ordinal as address, shiftright(shiftleft(segment, 16) + ordinal, 16) as segment, (shiftleft(segment, 16) + ordinal) % 65536 as ordinal from {store_index} where ordinal < 65536")
+query("address_pack", "select hash, shiftleft(segment, 16) + ordinal as address, shiftright(shiftleft(segment, 16) + ordinal, 16) as segment, (shiftleft(segment, 16) + ordinal) % 65536 as ordinal from {store_index} where ordinal < 65536",
+      lambda spark, sf_dir: run(spark, sf_dir, ADDRESSES))
 query("gc_mark", "select i.segment, count(*) as marked from {store_index} i where exists (select 1 from {live} l where l.hash = i.hash) group by i.segment")
 VICTIMS = "select i.segment, count(l.hash) as live_chunks, count(*) as total_chunks, case when count(l.hash) > 0 and count(l.hash) < count(*) then cast(count(l.hash) * 64 as bigint) else 0 end as copy_bytes from {store_index} i left join {live} l on l.hash = i.hash group by i.segment"
 query("gc_victims", VICTIMS)

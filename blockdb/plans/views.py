@@ -97,7 +97,8 @@ view(
     from {chunks} where hash is not null
     """,
 )
-view("store_index", "select hash, min_by(segment, segment * 1000000 + ordinal) as segment, min_by(ordinal, segment * 1000000 + ordinal) as ordinal, min(len) as len from {chunk_log} group by hash")
+view("store_index", "select hash, min_by(segment, segment * 1000000 + ordinal) as segment, min_by(ordinal, segment * 1000000 + ordinal) as ordinal, min(len) as len from {chunk_log} group by hash",
+     lambda spark, sf_dir: run(spark, sf_dir, "select hash, min(struct(segment, ordinal)).segment as segment, min(struct(segment, ordinal)).ordinal as ordinal, min(len) as len from {chunk_log} group by hash"))
 #: Images 0, 1, 2 of four are roots that live; the others' chunks are garbage unless shared.
 view("live", "select distinct hash from {chunks} where hash is not null and image % 4 <> 3")
 view("refs", "select image, pos, hash from {chunks} where hash is not null")
