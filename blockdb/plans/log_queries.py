@@ -45,9 +45,16 @@ query("rejected_suffix", """
 query("prefix_cut", "select w.image, count(*) as kept, min(w.seq) as first, max(case when w.seq <= c.d then 1 else 0 end) as leaked from {wal} w cross join {cuts} c where w.seq > c.d group by w.image")
 query("transfer_tail", "select w.image, w.seq, w.kind, w.start, w.blocks from {wal} w cross join {cuts} c where w.seq > c.d and w.seq <= c.e")
 query("prefix_status", "select p as published, e as fenced, d as compacted, d <= e and e <= p as ordered from {cuts}")
+#: The last mutation before a fence is in the fence's range or is the last one of the ranges before; a fence before all mutations has none.
+FENCES = """
+    with e as (select event_id, seq, event_id div 4096 as part, false as fence from {wal} union all select event_id, cast(null as bigint), event_id div 4096, true from {flushes}),
+    i as (select event_id, part, fence, max(seq) over (partition by part order by event_id range between unbounded preceding and 1 preceding) as within from e),
+    p as (select part, max(last) over (order by part rows between unbounded preceding and 1 preceding) as before from (select part, max(seq) as last from e group by part) x)
+    select i.event_id as fence, max(coalesce(i.within, p.before)) as through from i join p on p.part = i.part where i.fence group by i.event_id
+"""
 query("fence_boundary", """
     select f.event_id as fence, max(w.seq) as through from {flushes} f join {wal} w on w.event_id div 256 = f.event_id div 256 and w.event_id < f.event_id group by f.event_id
-""")
+""", lambda spark, sf_dir: run(spark, sf_dir, FENCES))
 query("fence_cut", """
     with last as (select max(event_id) as slot from {flushes} where event_id % 5 <> 0)
     select w.image, count(*) as replayed, max(w.seq) as last from {wal} w cross join last l where w.event_id <= l.slot group by w.image

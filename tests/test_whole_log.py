@@ -15,3 +15,10 @@ def test_address_pack(spark, monkeypatch):
     put(monkeypatch, "chunk_log", spark.createDataFrame([("a", 1, 65535, 64), ("b", 1, 65536, 64), ("c", 1, 1_000_001, 64), ("c", 2, 0, 64), ("d", 64, 131_073, 9)], "hash string, segment long, ordinal long, len long"))
     want = [("a", 1, 65535), ("b", 65, 0), ("c", 1 + 64 * 15, 1_000_001 % 65536), ("d", 64 + 128, 1)]
     assert rows(spark, "address_pack") == [(h, (s << 16) + o, s, o) for h, s, o in want]
+
+
+def test_fence_boundary(spark, monkeypatch):
+    put(monkeypatch, "wal", spark.createDataFrame([(5, 1), (9, 2), (300, 3), (9000, 4)], "event_id long, seq long"))
+    put(monkeypatch, "flushes", spark.createDataFrame([(1,), (7,), (256,), (4097,), (8999,), (20000,)], "event_id long"))
+    found = {r.fence: r.through for r in registry.QUERIES["fence_boundary"](spark, "").collect()}
+    assert found == {1: None, 7: 1, 256: 2, 4097: 3, 8999: 3, 20000: 4}
