@@ -29,3 +29,14 @@ def running_base(df: DataFrame, size: Column, order: str, by: list[str] | None =
 def dense_number(df: DataFrame, order: str, name: str = "seq", by: list[str] | None = None) -> DataFrame:
     """Adds `name`: 1, 2, 3, ... in `order` within `by`."""
     return running_base(df, F.lit(1), order, by, name).withColumn(name, F.col(name) + 1)
+
+
+def previous(df: DataFrame, order: str, names: dict[str, str]) -> DataFrame:
+    """Adds for each name: column its value in the row before, in `order` (a distinct non-negative integer), or null in the first row."""
+    row = F.struct(order, *(c for c in names.values() if c != order))
+    rows = df.withColumn("__range", F.floor(F.col(order) / WIDTH)).withColumn("__row", row)
+    rows = rows.withColumn("__lag", F.lag("__row").over(Window.partitionBy("__range").orderBy(order)))
+    ends = df.groupBy(F.floor(F.col(order) / WIDTH).alias("__range")).agg(F.max(row).alias("__end"))
+    ends = ends.select("__range", F.lag("__end").over(Window.orderBy("__range")).alias("__before"))
+    before = F.coalesce("__lag", "__before")
+    return rows.join(ends, "__range").select(*df.columns, *(before[c].alias(n) for n, c in names.items()))

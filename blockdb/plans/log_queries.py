@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blockdb.operators import folds, wal
+from blockdb.operators.sequence import previous
 from blockdb.plans.registry import query
 from blockdb.plans.views import frame, run
 
@@ -26,12 +27,14 @@ query(
     """,
     lambda spark, sf_dir: wal.intervals(frame(spark, sf_dir, "wal")).withColumnRenamed("end", "stop"),
 )
-query("sequence_gaps", "select image, seq, prev from (select image, seq, lag(seq) over (partition by batch order by seq) as prev from (select * from {batches} where seq % 997 <> 0) b) x where prev is not null and seq <> prev + 1")
+query("sequence_gaps", "select image, seq, prev from (select image, seq, lag(seq) over (partition by batch order by seq) as prev from (select * from {batches} where seq % 997 <> 0) b) x where prev is not null and seq <> prev + 1",
+      lambda spark, sf_dir: previous(run(spark, sf_dir, "select * from {batches} where seq % 997 <> 0"), "seq", {"prev": "seq"}).where("seq <> prev + 1").select("image", "seq", "prev"))
 query("wal_continuity", """
     with b as (select batch, min(seq) as first, max(seq) as last, count(*) as n from {batches} where batch % 40 <> 39 group by batch),
     f as (select batch, first, last, n, lag(batch) over (partition by batch div 512 order by batch) as prev_batch, lag(last) over (partition by batch div 512 order by batch) as prev_last from b)
     select batch, first, last, n, prev_batch is null or (batch = prev_batch + 1 and first = prev_last + 1) as follows, n <= 63 and last - first + 1 = n as dense from f
-""")
+""", lambda spark, sf_dir: previous(run(spark, sf_dir, "select batch, min(seq) as first, max(seq) as last, count(*) as n from {batches} where batch % 40 <> 39 group by batch"), "batch", {"prev_batch": "batch", "prev_last": "last"}).selectExpr(
+    "batch", "first", "last", "n", "prev_batch is null or (batch = prev_batch + 1 and first = prev_last + 1) as follows", "n <= 63 and last - first + 1 = n as dense"))
 #: Replay stops at the first batch that is torn; what follows is retained and not read.
 query("wal_replay", """
     with bad as (select image, min(seq) as stop from {batches} where intact = 0 group by image)
@@ -81,7 +84,8 @@ query("contiguous_prefix", """
 query("segment_chain", """
     select segment, preceding, last, lag(last) over (partition by segment div 4096 order by segment) as previous_last, coalesce(preceding = lag(last) over (partition by segment div 4096 order by segment), true) as chained,
            coalesce(epoch >= lag(epoch) over (partition by segment div 4096 order by segment), true) as epoch_ok from {segments}
-""")
+""", lambda spark, sf_dir: previous(frame(spark, sf_dir, "segments"), "segment", {"previous_last": "last", "previous_epoch": "epoch"}).selectExpr(
+    "segment", "preceding", "last", "previous_last", "coalesce(preceding = previous_last, true) as chained", "coalesce(epoch >= previous_epoch, true) as epoch_ok"))
 query("identity_check", """
     select i.event_id, i.seq from (select event_id, seq, start + case when event_id % 101 = 0 then 1 else 0 end as start, blocks from {wal}) i
     left join {wal} w on w.seq = i.seq and w.start = i.start and w.blocks = i.blocks where w.seq is null

@@ -22,3 +22,14 @@ def test_fence_boundary(spark, monkeypatch):
     put(monkeypatch, "flushes", spark.createDataFrame([(1,), (7,), (256,), (4097,), (8999,), (20000,)], "event_id long"))
     found = {r.fence: r.through for r in registry.QUERIES["fence_boundary"](spark, "").collect()}
     assert found == {1: None, 7: 1, 256: 2, 4097: 3, 8999: 3, 20000: 4}
+
+
+def test_breaks_at_cuts(spark, monkeypatch):
+    seqs = [s for s in range(1, 5000) if s not in (63, 64, 4096)]
+    put(monkeypatch, "batches", spark.createDataFrame([(0, s, (s - 1) // 63) for s in seqs], "image int, seq long, batch long"))
+    kept = [s for s in seqs if s % 997]
+    assert rows(spark, "sequence_gaps") == [(0, b, a) for a, b in zip(kept, kept[1:]) if b != a + 1]
+    put(monkeypatch, "batches", spark.createDataFrame([(b, b + 1) for b in range(2550, 2570)], "batch long, seq long"))
+    assert [r[0] for r in rows(spark, "wal_continuity") if not r[4]] == [2560]
+    put(monkeypatch, "segments", spark.createDataFrame([(4095, 10, 20, 5), (4096, 21, 30, 4)], "segment long, preceding long, last long, epoch long"))
+    assert rows(spark, "segment_chain")[1] == (4096, 21, 30, 20, False, False)
