@@ -149,7 +149,7 @@ query("manifest_apply", f"""
     with g as (select image, generation, explode(sequence(start, stop - 1)) as block, seq, payload from {{edits}}), last as (select *, row_number() over (partition by image, block order by seq desc) as n from g where generation <= 3),
     r as (select image, block, seq, payload, block - row_number() over (partition by image, seq order by block) as island from last where n = 1 and payload is not null)
     select image, min(block) as start, max(block) + 1 as stop, max(payload) as payload from r group by image, seq, island
-""")
+""", lambda spark, sf_dir: wal.intervals(frame(spark, sf_dir, "wal")).where("kind = 'WRITE'").select("image", "start", F.col("end").alias("stop"), "payload"))  # all generations
 query("version_asof", """
     with v as (select explode(sequence(1, 4)) as g), b as (select image, generation, explode(sequence(start, stop - 1)) as block, seq, payload from {edits}),
     x as (select v.g, b.image, b.block, max_by(b.payload, b.seq) as payload, max(b.seq) as seq from v join b on b.generation <= v.g group by v.g, b.image, b.block)

@@ -33,3 +33,10 @@ def test_breaks_at_cuts(spark, monkeypatch):
     assert [r[0] for r in rows(spark, "wal_continuity") if not r[4]] == [2560]
     put(monkeypatch, "segments", spark.createDataFrame([(4095, 10, 20, 5), (4096, 21, 30, 4)], "segment long, preceding long, last long, epoch long"))
     assert rows(spark, "segment_chain")[1] == (4096, 21, 30, 20, False, False)
+
+
+def test_manifest_apply(spark, monkeypatch):
+    log = spark.createDataFrame([(0, 1, "WRITE", 0, 4, 10), (0, 1501, "WRITE", 2, 4, 20), (0, 9000, "ZERO", 0, 1, 30)], "image int, seq long, kind string, start long, blocks long, payload long")
+    put(monkeypatch, "wal", log)
+    put(monkeypatch, "edits", log.selectExpr("image", "seq", "start", "start + blocks as stop", "case when kind = 'WRITE' then payload end as payload", "1 + (seq - 1) div 500 as generation"))
+    assert rows(spark, "manifest_apply") == [(0, 1, 2, 10), (0, 2, 6, 20)]
