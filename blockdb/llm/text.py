@@ -1,12 +1,14 @@
 """Words and their hashes by array arithmetic over the UTF-8 bytes of many texts at once.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit polynomials of the bytes,
-finished by an avalanche step, so equal words have equal hashes in every process.
+finished by an avalanche step, so equal words have equal hashes in every process. Polynomials modulo 2**64 are weak on long spans (Thue-Morse words of two
+letters collide), so spans of more than LONG bytes are hashed by BLAKE2b instead.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +20,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; a longer text is handled alone.
 BLOCK_BYTES = 1_500_000
+#: Spans of more bytes are hashed by BLAKE2b.
+LONG = 32
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -72,7 +76,12 @@ class Words:
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         inv = powers(INVERSE, len(self.data) + 1)
-        return mix((self.prefix[end] - self.prefix[start]) * inv[start] + (end - start).astype(U) * U(BASE))
+        out = mix((self.prefix[end] - self.prefix[start]) * inv[start] + (end - start).astype(U) * U(BASE))
+        long = np.flatnonzero(end - start > LONG)
+        if len(long):
+            raw, digest = memoryview(np.ascontiguousarray(self.data)), hashlib.blake2b
+            out[long] = np.frombuffer(b"".join([digest(raw[a:b], digest_size=8).digest() for a, b in zip(start[long].tolist(), end[long].tolist())]), U)
+        return out
 
 
 def scan(texts: list[str | None], lower: bool = False) -> Words:

@@ -419,3 +419,21 @@ def test_topk_repeated_ids(spark):
         order = sorted(best, key=lambda d: (-best[d], d))[:20]
         want |= {(i, n + 1, d, best[d]) for n, d in enumerate(order)}
     assert {tuple(r) for r in topk.search(df, df.where("vec_id in (0, 20, 40, 60)")).collect()} == want
+
+
+def test_words_made_to_collide(spark):
+    """Thue-Morse words of two letters collide under any polynomial modulo 2**64; they must be told apart."""
+    a, b = "x", "y"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert len(a) == 2048
+    one, two = quality.text.scan([a, b]).hash
+    assert one != two
+    rest = "q w e r t " * 8
+    df = spark.createDataFrame([(1, " ".join([a, "m"] * 20)), (2, " ".join([b, "m"] * 20)), (3, f"{a}\n{b}\n{rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r.doc_id: r.n_dup_lines for r in quality.ledger(df).collect()}[3] == 0
+    w, kept = removed({r.doc_id: r.text for r in df.collect()})
+    assert {r.doc_id: tokens(r.text) for r in substrings.remove(df).collect()} == kept
+    counts = {r.doc_id: r.n_known for r in lm.score(df, lm.F.col("doc_id") == 1).collect()}
+    assert counts == {1: 41, 2: 21, 3: 2}
