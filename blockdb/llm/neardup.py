@@ -187,6 +187,8 @@ def _compared(batches: Iterator[pa.RecordBatch], similar: Callable) -> Iterator[
                 found += [(here[0], columns[3][i]) for i, y in zip(members, ok) if y]
             at = end
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        del columns
+    text.release()
 
 
 def compare(pairs: DataFrame, data: DataFrame, similar: Callable) -> DataFrame:
@@ -262,6 +264,8 @@ def _across(batches: Iterator[pa.RecordBatch], top: int | None) -> Iterator[pa.R
         found = []
     found += finish()
     yield emit()
+    rows = []
+    text.release()
 
 
 def components(edges: DataFrame) -> DataFrame:

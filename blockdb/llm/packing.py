@@ -82,7 +82,7 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int
 class Tokens:
     """Ids of texts: each distinct word is encoded once; the vocabulary's rules drop white space, so words don't affect one another."""
 
-    MOST = 500_000
+    MOST = 200_000  # words kept, and eight times as many ids: some 40 MB
     MARK, MARK_ID = "<|startoftext|>", 49406  # a special token of the vocabulary: it parts the words of one call
     LETTER, POINT = np.zeros(256, bool), np.zeros(256, bool)
     LETTER[97:123] = True
@@ -141,7 +141,7 @@ class Tokens:
                 both[0, first[cut] + 1], both[1, first[cut] + 1] = stem[cut], end[cut]
                 start, end = both
             begin = words.first + np.concatenate(([0], np.cumsum(cut)))[words.first]
-            if len(self.known) > self.MOST:
+            if len(self.known) > self.MOST or self.used > 8 * self.MOST:
                 self.clear()
             keys, one, inverse = np.unique(words.span_hash(start, end), return_index=True, return_inverse=True)
             keys = keys.tolist()

@@ -29,7 +29,7 @@ from blockdb.llm import common, text
 
 LENGTH, GRAM, RUN = 35, 8, 29
 HOT = 150
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 400_000
 
 
 def grams(w: text.Words) -> np.ndarray:
@@ -254,6 +254,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local = found - index.begin[owner]
             cut = np.searchsorted(owner, np.arange(len(unique) + 1))
             hits = [local[s:e].tolist() for s, e in zip(cut[:-1], cut[1:])]
+            del index
         rows = [(int(d), h) for d, h in zip(unique, hits) if h]
         return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([h for _, h in rows], pa.list_(pa.int32()))], ["digest", "hits"])
 
@@ -266,6 +267,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total += len(row[2]) // 8
             last = row[0]
     yield search()
+    held.clear()
+    text.release()
 
 
 def _removed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:

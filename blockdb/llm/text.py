@@ -19,7 +19,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; a longer text is handled alone.
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 400_000
 #: Spans of more bytes are hashed by BLAKE2b.
 LONG = 32
 
