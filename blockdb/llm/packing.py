@@ -82,7 +82,7 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int
 class Tokens:
     """Ids of texts: each distinct word is encoded once; the vocabulary's rules drop white space, so words don't affect one another."""
 
-    MOST = 200_000  # words kept, and eight times as many ids: some 40 MB
+    MOST = 400_000  # words kept: some 30 MB
     MARK, MARK_ID = "<|startoftext|>", 49406  # a special token of the vocabulary: it parts the words of one call
     LETTER, POINT = np.zeros(256, bool), np.zeros(256, bool)
     LETTER[97:123] = True
@@ -96,10 +96,36 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.size, self.ids, self.n, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0, 0
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+        self.keys, self.entry = np.zeros(0, text.U), np.zeros(0, np.int64)  # hashes in order, and their entries
+        self.at, self.size, self.seen, self.ids, self.n, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, np.uint32), 0, 0
+
+    def _shrink(self) -> None:
+        """Keep the words that several blocks of text had; should that be most of them, none."""
+        keep = np.flatnonzero(self.seen[: self.n] > 1)
+        if len(keep) > self.MOST // 2:
+            self.clear()
+            return
+        size = self.size[keep]
+        places = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.at[keep] - places[:-1], size) + np.arange(places[-1])]
+        new = np.full(self.n, -1, np.int64)
+        new[keep] = np.arange(len(keep))
+        entry = new[self.entry]
+        self.keys, self.entry = self.keys[entry >= 0], entry[entry >= 0]
+        self.n, self.used = len(keep), len(ids)
+        room = max(1024, self.n)
+        self.at, self.size, self.seen = (np.resize(x, room) if len(x) else np.zeros(room, x.dtype) for x in (places[:-1], size, np.zeros(len(keep), np.int32)))
+        self.ids = np.append(ids, np.zeros(max(0, 8192 - len(ids)), np.uint32))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entries of hashes; -1 for those that are new."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.entry[at], -1)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """`keys` are in order."""
         ids: list[int] = []
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
@@ -113,13 +139,15 @@ class Tokens:
         sizes = np.diff(ends, prepend=-1) - 1
         flat = flat[flat >= 0].astype(np.uint32)
         while len(self.at) < self.n + len(keys):
-            self.at, self.size = np.concatenate((self.at, self.at)), np.concatenate((self.size, self.size))
+            self.at, self.size, self.seen = (np.concatenate((x, x)) for x in (self.at, self.size, self.seen))
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate((self.ids, self.ids))
         new = slice(self.n, self.n + len(keys))
         self.at[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
         self.ids[self.used : self.used + len(flat)] = flat
-        self.known.update(zip(keys, range(self.n, self.n + len(keys))))
+        self.seen[new] = 0
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.entry = np.insert(self.keys, where, keys), np.insert(self.entry, where, np.arange(new.start, new.stop))
         self.n, self.used = self.n + len(keys), self.used + len(flat)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -141,16 +169,18 @@ class Tokens:
                 both[0, first[cut] + 1], both[1, first[cut] + 1] = stem[cut], end[cut]
                 start, end = both
             begin = words.first + np.concatenate(([0], np.cumsum(cut)))[words.first]
-            if len(self.known) > self.MOST or self.used > 8 * self.MOST:
-                self.clear()
+            if self.n > self.MOST:
+                self._shrink()
             keys, one, inverse = np.unique(words.span_hash(start, end), return_index=True, return_inverse=True)
-            keys = keys.tolist()
-            new = [i for i, key in enumerate(keys) if key not in self.known]
-            if new:
+            found = self._find(keys)
+            new = np.flatnonzero(found < 0)
+            if len(new):
                 raw = words.data.tobytes()
                 where = one[new]
-                self._learn([keys[i] for i in new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[where].tolist(), end[where].tolist())])
-            entry = np.array([self.known[key] for key in keys], np.int64)[inverse] if keys else np.zeros(0, np.int64)
+                self._learn(keys[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[where].tolist(), end[where].tolist())])
+                found = self._find(keys)
+            self.seen[found] += 1
+            entry = found[inverse]
             size = self.size[entry]
             # Each text ends with the end id, which takes the place after its last word.
             places = np.concatenate(([0], np.cumsum(size)))

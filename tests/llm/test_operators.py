@@ -437,3 +437,21 @@ def test_words_made_to_collide(spark):
     assert {r.doc_id: tokens(r.text) for r in substrings.remove(df).collect()} == kept
     counts = {r.doc_id: r.n_known for r in lm.score(df, lm.F.col("doc_id") == 1).collect()}
     assert counts == {1: 41, 2: 21, 3: 2}
+
+
+def test_tokens_are_kept_and_dropped(monkeypatch):
+    """Words leave the cache without a change of any id."""
+    public = pytest.importorskip("public_tokenizers")
+    rng = random.Random(9)
+    often = words(rng, 40)
+    texts = [" ".join(words(rng, 60) + often) for _ in range(120)]
+    path = public.path("word_bpe_49k.json")
+    want = [x.tolist() for x in packing.Tokens(path, 2).encode(texts)]
+    tokens_ = packing.Tokens(path, 2)
+    monkeypatch.setattr(packing.Tokens, "MOST", 300)
+    monkeypatch.setattr(packing.text, "blocks", lambda x: ((i, i + 1) for i in range(len(x))))
+    sizes = []
+    shrink = tokens_._shrink
+    monkeypatch.setattr(tokens_, "_shrink", lambda: (shrink(), sizes.append(tokens_.n)))
+    assert [x.tolist() for x in tokens_.encode(texts)] == want
+    assert sizes and max(sizes) > 0
