@@ -13,6 +13,12 @@ def ranked(hashes: DataFrame, members: int):
     return hashes.withColumn("ranked", F.transform(best, lambda s: s["member"]))
 
 
+def scores(hashes: DataFrame, members: int) -> DataFrame:
+    """hash, member, place (from 1) of all members."""
+    rows = ranked(hashes, members).select("hash", F.posexplode("ranked").alias("at", "member"))
+    return rows.select("hash", "member", (F.col("at") + 1).alias("place"))
+
+
 def owners(hashes: DataFrame, members: int, k: int) -> DataFrame:
     """hash, member, place (from 1) of the k owners. Members are at most 255, so a row has a bounded array."""
     rows = ranked(hashes, members).select("hash", F.posexplode(F.slice("ranked", 1, k)).alias("at", "member"))

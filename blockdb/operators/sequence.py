@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 WIDTH = 4096
 
 
-def running_base(df: DataFrame, size: Column, order: str, by: list[str] | None = None, name: str = "base") -> DataFrame:
+def running_base(df: DataFrame, size: Column, order: str, by: list[str] | None = None, name: str = "base", levels: int = 2) -> DataFrame:
     """Adds `name`: the sum of `size` over rows before, in `order` (a distinct non-negative integer), within `by`.
 
-    Ranges of the order are summed apart; the ranges' own running sum is over a table WIDTH times smaller.
+    Ranges of the order are summed apart, the ranges' sums again by ranges of ranges, and only the last sums, WIDTH**levels times fewer, meet in one window.
     """
     by = by or []
-    rows = df.withColumns({"__range": F.floor(F.col(order) / WIDTH), "__size": size.cast("long")})
-    within = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("__in", F.sum("__size").over(within) - F.col("__size"))
-    ranges = df.groupBy(*by, F.floor(F.col(order) / WIDTH).alias("__range")).agg(F.sum(size.cast("long")).alias("__sum"))
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = ranges.withColumn("__before", F.sum("__sum").over(before) - F.col("__sum")).drop("__sum")
-    keys = [rows[k].eqNullSafe(ranges[k]) for k in [*by, "__range"]]
-    joined = rows.join(ranges, keys, "inner")
-    return joined.select(*(rows[c] for c in df.columns), (F.col("__before") + F.col("__in")).cast("long").alias(name))
+    part, own, inside, whole, before_ = (f"__{x}{levels}" for x in ("range", "size", "in", "sum", "before"))
+    rows = df.withColumns({part: F.floor(F.col(order) / WIDTH), own: size.cast("long")})
+    within = Window.partitionBy(*by, part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn(inside, F.sum(own).over(within) - F.col(own))
+    ranges = df.groupBy(*by, F.floor(F.col(order) / WIDTH).alias(part)).agg(F.sum(size.cast("long")).alias(whole))
+    if levels > 1:
+        ranges = running_base(ranges, F.col(whole), part, by, before_, levels - 1)
+    else:
+        before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranges = ranges.withColumn(before_, F.sum(whole).over(before) - F.col(whole))
+    keys = [rows[k].eqNullSafe(ranges[k]) for k in [*by, part]]
+    joined = rows.join(ranges.drop(whole), keys, "inner")
+    return joined.select(*(rows[c] for c in df.columns), (F.col(before_) + F.col(inside)).cast("long").alias(name))
 
 
 def dense_number(df: DataFrame, order: str, name: str = "seq", by: list[str] | None = None) -> DataFrame:
@@ -31,12 +35,13 @@ def dense_number(df: DataFrame, order: str, name: str = "seq", by: list[str] | N
     return running_base(df, F.lit(1), order, by, name).withColumn(name, F.col(name) + 1)
 
 
-def previous(df: DataFrame, order: str, names: dict[str, str]) -> DataFrame:
-    """Adds for each name: column its value in the row before, in `order` (a distinct non-negative integer), or null in the first row."""
+def previous(df: DataFrame, order: str, names: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Adds for each name: column its value in the row before, in `order` (a distinct non-negative integer) within `by`, or null in the first row."""
+    by = by or []
     row = F.struct(order, *(c for c in names.values() if c != order))
     rows = df.withColumn("__range", F.floor(F.col(order) / WIDTH)).withColumn("__row", row)
-    rows = rows.withColumn("__lag", F.lag("__row").over(Window.partitionBy("__range").orderBy(order)))
-    ends = df.groupBy(F.floor(F.col(order) / WIDTH).alias("__range")).agg(F.max(row).alias("__end"))
-    ends = ends.select("__range", F.lag("__end").over(Window.orderBy("__range")).alias("__before"))
+    rows = rows.withColumn("__lag", F.lag("__row").over(Window.partitionBy(*by, "__range").orderBy(order)))
+    ends = df.groupBy(*by, F.floor(F.col(order) / WIDTH).alias("__range")).agg(F.max(row).alias("__end"))
+    ends = ends.select(*by, "__range", F.lag("__end").over(Window.partitionBy(*by).orderBy("__range")).alias("__before"))
     before = F.coalesce("__lag", "__before")
-    return rows.join(ends, "__range").select(*df.columns, *(before[c].alias(n) for n, c in names.items()))
+    return rows.join(ends, [*by, "__range"]).select(*df.columns, *(before[c].alias(n) for n, c in names.items()))

@@ -13,6 +13,11 @@ def on_chunks(operator, view: str = "chunks"):
     return lambda spark, sf_dir: operator(frame(spark, sf_dir, view))
 
 
+def on_contents(operator):
+    """For operators that need no positions."""
+    return lambda spark, sf_dir: operator(census.contents(frame(spark, sf_dir, "documents")))
+
+
 query("chunk_scan", "select image, doc_id, cast(k as bigint) as k, cast(pos as bigint) as pos, hash, len from {chunks}")
 query("nonzero_chunks", "select image, count(hash) as nonzero, count(*) - count(hash) as holes, cast(sum(len) as bigint) as bytes from {chunks} group by image")
 
@@ -38,7 +43,7 @@ select cast(sum(bytes) as bigint) as nonzero_bytes, cast(sum(len) as bigint) as
        cast(sum(per_image) - sum(len) as bigint) as cross_duplicate_bytes
 from contents
 """
-query("census_totals", TOTALS.replace("VIEW", "chunks"), on_chunks(census.census_totals))
+query("census_totals", TOTALS.replace("VIEW", "chunks"), on_contents(census.census_totals))
 query(
     "census_descendants",
     """
@@ -47,7 +52,7 @@ query(
            cast(sum(case when in_base = 1 then (n - 1) * len else 0 end) as bigint) as base_duplicate_bytes, cast(sum(case when in_base = 0 then (n - 1) * len else 0 end) as bigint) as novel_duplicate_bytes
     from held where n > 0
     """,
-    on_chunks(census.census_descendants),
+    on_contents(census.census_descendants),
 )
 query(
     "census_identity",
@@ -62,7 +67,7 @@ query(
 query(
     "census_geometry",
     f"select 64 as chunk, t.* from ({TOTALS.replace('VIEW', 'chunks')}) t union all select 256 as chunk, t.* from ({TOTALS.replace('VIEW', 'chunks4')}) t",
-    lambda spark, sf_dir: census.census_totals(frame(spark, sf_dir, "chunks")).withColumn("chunk", F.lit(64)).unionByName(census.census_totals(frame(spark, sf_dir, "chunks4")).withColumn("chunk", F.lit(256))),
+    lambda spark, sf_dir: census.census_totals(census.contents(frame(spark, sf_dir, "documents"), 64)).withColumn("chunk", F.lit(64)).unionByName(census.census_totals(census.contents(frame(spark, sf_dir, "documents"), 256)).withColumn("chunk", F.lit(256))),
 )
 query(
     "first_seen",
@@ -80,8 +85,19 @@ query(
     select image, hole, min(pos) as start, max(pos) + 1 as stop, count(*) as units from r group by image, hole, island
     """,
 )
-query("image_digest", "select image, cast(sum(len) as bigint) as bytes, count(*) as chunks, sha2(string_agg(coalesce(hash, '0'), '' order by pos), 256) as digest from {chunks} group by image",
-      lambda spark, sf_dir: frame(spark, sf_dir, "chunks").groupBy("image").agg(F.sum("len").alias("bytes"), F.count(F.lit(1)).alias("chunks"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("hash", F.lit("0")).alias("h")))), lambda x: x["h"]), ""), 256).alias("digest")))
+#: A tree: ranges of 4096 chunks are digested by themselves, and an image's digest is that of its ranges' digests.
+query("image_digest", """
+    with r as (select image, pos div 4096 as part, sum(len) as bytes, count(*) as chunks, sha2(string_agg(coalesce(hash, '0'), '' order by pos), 256) as digest from {chunks} group by image, pos div 4096)
+    select image, cast(sum(bytes) as bigint) as bytes, cast(sum(chunks) as bigint) as chunks, sha2(string_agg(digest, '' order by part), 256) as digest from r group by image
+""", lambda spark, sf_dir: _image_digest(frame(spark, sf_dir, "chunks")))
+
+
+def _image_digest(chunks):
+    joined = lambda order, what: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(what).alias("h")))), lambda x: x["h"]), ""), 256)
+    ranges = chunks.withColumns({"part": F.expr("pos div 4096"), "h0": F.coalesce("hash", F.lit("0"))}).groupBy("image", "part").agg(F.sum("len").alias("bytes"), F.count(F.lit(1)).alias("chunks"), joined("pos", "h0").alias("digest"))
+    return ranges.groupBy("image").agg(F.sum("bytes").alias("bytes"), F.sum("chunks").alias("chunks"), joined("part", "digest").alias("digest"))
+
+
 query("import_receipt", "select image, count(*) as chunks, cast(sum(len) as bigint) as bytes, count(distinct hash) as unique_chunks, cast(ceil(count(*) / 16.0) as bigint) as windows, count(*) - count(hash) as zero_chunks from {chunks} group by image")
 query("read_fraction", "select image, count(*) as used_chunks, cast(sum(case when pos % 3 = 0 then 1 else 0 end) as bigint) as read_chunks, sum(case when pos % 3 = 0 then 1 else 0 end) / cast(nullif(count(*), 0) as double) as fraction from {chunks} group by image")
 query("write_amp", "select image, cast(sum(len) as bigint) as guest_bytes, count(distinct hash) * 64 as store_bytes, (cast(sum(len) as double) + count(*) * 24 + count(distinct hash) * 64) / nullif(sum(len), 0) as software_write_ratio from {chunks} group by image")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockdb.operators import census, wal
+from blockdb.operators import census, placement, wal
+from blockdb.operators.sequence import dense_number
 from blockdb.plans import dialect
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -45,7 +46,7 @@ def oracle(sql: str, used: list[str] | None = None) -> str:
             return
         for n in VIEWS[name][2]:
             add(n)
-        ctes[name] = f"{name} as ({VIEWS[name][1].strip()})"
+        ctes[name] = f"{name} as materialized ({VIEWS[name][1].strip()})"
 
     for n in names_in(sql) if used is None else used:
         add(n)
@@ -65,6 +66,11 @@ def chunk_view(name: str, size: int) -> None:
     )
 
 
+def contents(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
+    """Chunks that are not blank, without positions."""
+    return census.contents(frame(spark, sf_dir, "documents"), size).where("hash is not null")
+
+
 chunk_view("chunks", 64)
 chunk_view("chunks4", 256)
 
@@ -96,12 +102,14 @@ view(
     select cast(1 + doc_id % 64 as bigint) as segment, row_number() over (partition by doc_id % 64 order by doc_id, k) - 1 as ordinal, hash, len, image, doc_id
     from {chunks} where hash is not null
     """,
+    lambda spark, sf_dir: census.log_chunks(frame(spark, sf_dir, "documents")),
 )
-view("store_index", "select hash, min_by(segment, segment * 1000000 + ordinal) as segment, min_by(ordinal, segment * 1000000 + ordinal) as ordinal, min(len) as len from {chunk_log} group by hash",
+view("store_index", "select hash, segment, ordinal, len from (select *, row_number() over (partition by hash order by segment, ordinal) as n from {chunk_log}) x where n = 1",
      lambda spark, sf_dir: run(spark, sf_dir, "select hash, min(struct(segment, ordinal)).segment as segment, min(struct(segment, ordinal)).ordinal as ordinal, min(len) as len from {chunk_log} group by hash"))
 #: Images 0, 1, 2 of four are roots that live; the others' chunks are garbage unless shared.
-view("live", "select distinct hash from {chunks} where hash is not null and image % 4 <> 3")
+view("live", "select distinct hash from {chunks} where hash is not null and image % 4 <> 3", lambda spark, sf_dir: contents(spark, sf_dir).where("image % 4 <> 3").select("hash").distinct())
 view("refs", "select image, pos, hash from {chunks} where hash is not null")
+view("hashes", "select distinct hash from {chunks} where hash is not null", lambda spark, sf_dir: contents(spark, sf_dir).select("hash").distinct())
 #: Manifest versions from orders: images are customers modulo 16.
 view(
     "commits",
@@ -110,15 +118,19 @@ view(
            10 * row_number() over (partition by o_custkey % 16 order by o_orderkey) as durable, case when o_orderstatus = 'P' then 0 else 1 end as complete, 1 + o_orderkey % 64 as image_blocks
     from {orders}
     """,
+    lambda spark, sf_dir: dense_number(frame(spark, sf_dir, "orders").selectExpr("o_custkey % 16 as image", "o_orderkey", "o_orderstatus"), "o_orderkey", "generation", ["image"]).selectExpr(
+        "image", "generation", "o_orderkey as root", "10 * generation as durable", "case when o_orderstatus = 'P' then 0 else 1 end as complete", "1 + o_orderkey % 64 as image_blocks"),
 )
-view("edits", "select image, seq, start, start + blocks as stop, case when kind = 'WRITE' then payload end as payload, 1 + (seq - 1) div 500 as generation from {wal}")
+#: Eight generations, each an eighth of the log.
+view("edits", "select w.image, w.seq, w.start, w.start + w.blocks as stop, case when w.kind = 'WRITE' then w.payload end as payload, 1 + (w.seq - 1) * 8 div c.p as generation from {wal} w cross join {cuts} c")
 view("members", "select explode(sequence(0, 3)) as member")
 view(
     "scores",
     """
     select h.hash, m.member, row_number() over (partition by h.hash order by sha2(concat('rendezvous', h.hash, ':', cast(m.member as string)), 256) desc, m.member desc) as place
-    from (select distinct hash from {chunks} where hash is not null) h cross join {members} m
+    from {hashes} h cross join {members} m
     """,
+    lambda spark, sf_dir: placement.scores(frame(spark, sf_dir, "hashes"), 4),
 )
 #: Hosts' chunks: a host keeps what it owns with k = 2, except for one hash in sixteen, another one on each host.
 view("host_chunks", "select member as host, hash from {scores} where place <= 2 and substring(hash, 1 + member, 1) <> '7'")
