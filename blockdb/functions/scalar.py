@@ -45,3 +45,18 @@ def hex_id(text: Column, size: int = 32) -> Column:
 def cpu_set(text: Column) -> Column:
     """`2-5,8` as an array of numbers."""
     return F.flatten(F.transform(F.split(text, ","), lambda r: F.sequence(F.substring_index(r, "-", 1).cast("int"), F.substring_index(r, "-", -1).cast("int"))))
+
+
+def segment_number(name: Column) -> Column:
+    """The number that a segment's name of 20 digits says; null for other names and for zero."""
+    return F.when(name.rlike("^[0-9]{20}$") & ~name.rlike("^0+$"), name.try_cast("long"))
+
+
+def transferred(text: Column, what: str) -> Column:
+    """A byte counter of a transfer's closing lines (`sent 1,234 bytes  received 56 bytes`): sent, received or total size is."""
+    return F.replace(F.regexp_extract(text, what + " ([0-9,]+)", 1), F.lit(","), F.lit("")).try_cast("long")
+
+
+def placeholders(text: Column) -> Column:
+    """Names in `<...>` that are still in a text, each once, in order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("<([a-z_]+)>"), F.lit(1))))

@@ -6,11 +6,14 @@ The state of each depends on all earlier rows of its group, so a group is folded
 from __future__ import annotations
 
 from collections import OrderedDict, deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockdb.operators.sequence import dense_number
+
 QUANTUM = 1 << 20
 
 
@@ -58,6 +61,44 @@ def deficit_round_robin(requests: DataFrame) -> DataFrame:
     return requests.groupBy("host").applyInPandas(fold, "host long, place long, id long, image long")
 
 
+def background_share(requests: DataFrame, demand: int = 3) -> DataFrame:
+    """host, id, class, place (from 0): `demand` requests of the foreground, then one of the background, as long as both wait. `requests`: host, id, class.
+
+    A place follows from a request's number within its class, so nothing is folded.
+    """
+    numbered = dense_number(requests, "id", "i", ["host", "class"]).withColumn("i", F.col("i") - 1)
+    sizes = requests.groupBy("host").agg(F.count_if(F.col("class") == "background").alias("back"), F.count_if(F.col("class") != "background").alias("front"))
+    i, back = F.col("i"), F.col("class") == "background"
+    place = F.when(back, F.least((demand + 1) * i + demand, F.col("front") + i)).otherwise(i + F.least(F.floor(i / demand), F.col("back")))
+    return numbered.join(sizes, "host").select("host", "id", "class", place.cast("long").alias("place"))
+
+
+def log_batches(mutations: DataFrame, most: int = 63, most_bytes: int = 1 << 20) -> DataFrame:
+    """image, batch, descriptors, first, last, payload_bytes: a batch closes before a mutation that would exceed `most` rows or `most_bytes`. `mutations`: image, seq, bytes.
+
+    Where a batch begins depends on all batches before, so an image's log is streamed through one task, in constant memory.
+    """
+
+    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        image = batch = held = payload = first = last = None
+        for part in parts:
+            out = []
+            for i, seq, size in zip(part.image.tolist(), part.seq.tolist(), part.bytes.tolist()):
+                if i != image or held == most or payload + size > most_bytes:
+                    if image is not None:
+                        out.append((image, batch, held, first, last, payload))
+                    batch = batch + 1 if i == image else 0
+                    image, held, payload, first = i, 0, 0, seq
+                held, payload, last = held + 1, payload + size, seq
+            yield pd.DataFrame(out, columns=names)
+        if image is not None:
+            yield pd.DataFrame([(image, batch, held, first, last, payload)], columns=names)
+
+    names = ["image", "batch", "descriptors", "first", "last", "payload_bytes"]
+    rows = mutations.repartition("image").sortWithinPartitions("image", "seq")
+    return rows.mapInPandas(stream, "image long, batch long, descriptors long, first long, last long, payload_bytes long")
+
+
 def lru(accesses: DataFrame, capacity: int) -> DataFrame:
     """Hits, misses and evictions of each host's cache. `accesses`: host, n (order), content."""
 

@@ -24,6 +24,7 @@ def _calls(sql: str, name: str, make: Callable[[str], str]) -> str:
 def duckdb(sql: str) -> str:
     """The text for DuckDB."""
     sql = re.sub(r"\{(\w+)\}", r"\1", sql)
+    sql = _calls(sql, "bit_xor_", lambda a: f"xor({a})")
     sql = _calls(sql, "sha2", lambda a: f"sha256({a.rpartition(',')[0]})")
     sql = _calls(sql, "explode", lambda a: f"unnest({a})")
     sql = _calls(sql, "sequence", lambda a: f"generate_series({a})")
@@ -37,11 +38,16 @@ def duckdb(sql: str) -> str:
     return re.sub(r"\bdiv\b", "//", sql)
 
 
+def spark(sql: str) -> str:
+    """The text for Spark, which writes an exclusive or as an operator."""
+    return _calls(sql, "bit_xor_", lambda a: "(({}) ^ ({}))".format(*(x.strip() for x in a.split(",", 1))))
+
+
 def join_ctes(ctes: list[str], sql: str) -> str:
     """Put `ctes` before a query that may have its own."""
     if not ctes:
         return sql
     sql = sql.strip()
-    if re.match(r"with\b", sql, re.I):
-        return "with " + ",\n".join(ctes) + ",\n" + sql[4:].lstrip()
+    if head := re.match(r"with(\s+recursive)?\b", sql, re.I):
+        return head[0] + " " + ",\n".join(ctes) + ",\n" + sql[head.end() :].lstrip()
     return "with " + ",\n".join(ctes) + "\n" + sql

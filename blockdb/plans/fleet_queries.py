@@ -7,15 +7,35 @@ from blockdb.plans.registry import query
 from blockdb.plans.views import frame
 
 query("placement_topk", "select hash, cast(member as int) as member, cast(place as int) as place from {scores} where place <= 2",
-      lambda spark, sf_dir: placement.owners(frame(spark, sf_dir, "chunks").where("hash is not null").select("hash").distinct(), 4, 2))
+      lambda spark, sf_dir: placement.owners(frame(spark, sf_dir, "hashes"), 4, 2))
 query("route_owner", "select hash, cast(max(case when place = 1 then member end) as int) as first_owner, cast(max(case when place = 2 then member end) as int) as challenger from {scores} where member <> 0 or place > 2 group by hash",
-      lambda spark, sf_dir: placement.route(frame(spark, sf_dir, "chunks").where("hash is not null").select("hash").distinct(), 4, 0))
+      lambda spark, sf_dir: placement.route(frame(spark, sf_dir, "hashes"), 4, 0))
 query("has_missing", "select s.member as host, count(*) as asked, count(*) - count(h.hash) as missing from {scores} s left join {host_chunks} h on h.host = s.member and h.hash = s.hash where s.place <= 2 group by s.member")
+#: For every pair of hosts: what the source holds, the target owns, and the target lacks.
 query("ship_set", """
-    select s.hash, s.member as target from {scores} s where s.place <= 2 and s.member = 1
-      and exists (select 1 from {host_chunks} h where h.hash = s.hash and h.host = 0) and not exists (select 1 from {host_chunks} t where t.hash = s.hash and t.host = 1)
+    with held as (select host, hash from {host_chunks}), wanted as (select s.member as target, s.hash from {scores} s left join held t on t.host = s.member and t.hash = s.hash where s.place <= 2 and t.hash is null)
+    select h.host as source, w.target, w.hash from held h join wanted w on w.hash = h.hash and w.target <> h.host
+""")
+query("live_union", "select hash, count(distinct host) as holders from {host_chunks} group by hash")
+#: A peer answers GET with a chunk's bytes, or with nothing, and HAS with a flag a hash.
+query("peer_service", """
+    with asked as (select s.member as host, s.hash, case when substring(s.hash, 3, 1) < '8' then 'GET' else 'HAS' end as op from {scores} s where s.place <= 3),
+    size_ as (select hash, min(len) as len from {chunks} where hash is not null group by hash)
+    select a.host, a.op, count(*) as requests, count(h.hash) as present, count(*) - count(h.hash) as missing, cast(coalesce(sum(case when a.op = 'GET' and h.hash is not null then z.len end), 0) as bigint) as bytes
+    from asked a left join {host_chunks} h on h.host = a.host and h.hash = a.hash left join size_ z on z.hash = a.hash group by a.host, a.op
+""")
+#: Bytes and messages of the six flows between hosts, each counted at either end.
+query("flow_accounting", """
+    with m as (select id, guest % 4 as sender, (guest + 1 + k % 3) % 4 as receiver, case k % 6 when 0 then 'reads' when 1 then 'chunks' when 2 then 'catalogue' when 3 then 'log tail' when 4 then 'sweep' else 'control' end as flow, k * 64 + 32 as bytes from {reads}),
+    e as (select sender as host, flow, bytes as sent, cast(0 as bigint) as received from m union all select receiver, flow, cast(0 as bigint), bytes from m)
+    select host, flow, count(*) as messages, cast(sum(sent) as bigint) as sent_bytes, cast(sum(received) as bigint) as received_bytes from e group by host, flow
+""")
+#: Duplicates between images under a placement of images on hosts: copies that share a host, and those on other hosts.
+query("placement_duplicates", """
+    with held as (select c.image % p.hosts as host, p.hosts, c.image, c.hash, min(c.len) as len from {chunks} c cross join (select explode(array(2, 4, 8)) as hosts) p where c.hash is not null group by 1, 2, 3, 4),
+    by_host as (select hosts, hash, host, count(*) as images, min(len) as len from held group by hosts, hash, host), by_hash as (select hosts, hash, sum(images) as images, count(*) as hosts_with, min(len) as len from by_host group by hosts, hash)
+    select hosts, cast(sum(len) as bigint) as unique_bytes, cast(sum((images - hosts_with) * len) as bigint) as same_host_bytes, cast(sum((hosts_with - 1) * len) as bigint) as other_host_bytes from by_hash group by hosts
 """)
-query("live_union", "select distinct hash from (select hash from {host_chunks} where host = 0 union all select hash from {host_chunks} where host = 1) u")
 query("receipts", "select host, count(distinct hash) as dependencies from (select host, hash from {host_chunks} where substring(hash, 2, 1) < '8' union all select host, hash from {host_chunks} where substring(hash, 2, 1) >= '4') u group by host")
 query("sweep_keep", """
     with held as (select h.host, h.hash, s.place <= 2 as own from {host_chunks} h join {scores} s on s.hash = h.hash and s.member = h.host),
@@ -35,7 +55,7 @@ query("writer_transitions", """
     with h as (select image, generation, root % 4 as writer, case generation % 4 when 0 then 'Claiming' when 1 then 'Active' when 2 then 'Fenced' else 'Receiving' end as phase, durable from {commits}),
     p as (select *, lag(generation) over w as old_generation, lag(writer) over w as old_writer, lag(phase) over w as old_phase, lag(durable) over w as old_durable from h window w as (partition by image order by generation))
     select image, generation, phase, case when old_phase is null then 'first' when generation = old_generation and writer = old_writer and phase = old_phase and durable = old_durable then 'retry'
-             when generation = old_generation + 1 and old_phase = 'Active' and phase = 'Fenced' and writer <> old_writer then 'handoff' when generation > old_generation and old_phase = 'Fenced' and phase = 'Receiving' then 'receive'
+             when generation = old_generation + 1 and old_phase = 'Active' and phase = 'Fenced' and writer <> old_writer and durable >= old_durable then 'handoff' when generation > old_generation and old_phase = 'Fenced' and phase = 'Receiving' then 'receive'
              when old_phase in ('Receiving', 'Claiming') and phase = 'Active' and writer = old_writer and durable = old_durable then 'activate' else 'refused' end as verdict from p
 """)
 RACES = """

@@ -27,11 +27,11 @@ query(
     """,
     lambda spark, sf_dir: wal.intervals(frame(spark, sf_dir, "wal")).withColumnRenamed("end", "stop"),
 )
-query("sequence_gaps", "select image, seq, prev from (select image, seq, lag(seq) over (partition by batch order by seq) as prev from (select * from {batches} where seq % 997 <> 0) b) x where prev is not null and seq <> prev + 1",
+query("sequence_gaps", "select image, seq, prev from (select image, seq, lag(seq) over (order by seq) as prev from (select * from {batches} where seq % 997 <> 0) b) x where prev is not null and seq <> prev + 1",
       lambda spark, sf_dir: previous(run(spark, sf_dir, "select * from {batches} where seq % 997 <> 0"), "seq", {"prev": "seq"}).where("seq <> prev + 1").select("image", "seq", "prev"))
 query("wal_continuity", """
     with b as (select batch, min(seq) as first, max(seq) as last, count(*) as n from {batches} where batch % 40 <> 39 group by batch),
-    f as (select batch, first, last, n, lag(batch) over (partition by batch div 512 order by batch) as prev_batch, lag(last) over (partition by batch div 512 order by batch) as prev_last from b)
+    f as (select batch, first, last, n, lag(batch) over (order by batch) as prev_batch, lag(last) over (order by batch) as prev_last from b)
     select batch, first, last, n, prev_batch is null or (batch = prev_batch + 1 and first = prev_last + 1) as follows, n <= 63 and last - first + 1 = n as dense from f
 """, lambda spark, sf_dir: previous(run(spark, sf_dir, "select batch, min(seq) as first, max(seq) as last, count(*) as n from {batches} where batch % 40 <> 39 group by batch"), "batch", {"prev_batch": "batch", "prev_last": "last"}).selectExpr(
     "batch", "first", "last", "n", "prev_batch is null or (batch = prev_batch + 1 and first = prev_last + 1) as follows", "n <= 63 and last - first + 1 = n as dense"))
@@ -56,7 +56,7 @@ FENCES = """
     select i.event_id as fence, max(coalesce(i.within, p.before)) as through from i join p on p.part = i.part where i.fence group by i.event_id
 """
 query("fence_boundary", """
-    select f.event_id as fence, max(w.seq) as through from {flushes} f join {wal} w on w.event_id div 256 = f.event_id div 256 and w.event_id < f.event_id group by f.event_id
+    select f.event_id as fence, w.seq as through from {flushes} f asof left join {wal} w on f.event_id > w.event_id
 """, lambda spark, sf_dir: run(spark, sf_dir, FENCES))
 query("fence_cut", """
     with last as (select max(event_id) as slot from {flushes} where event_id % 5 <> 0)
@@ -71,28 +71,35 @@ query("request_decode", """
     select id, queue, case when kind = 'FLUSH' then 'flush' when kind not in ('READ', 'WRITE', 'ZERO', 'DISCARD') then 'unsupported' when length_ = 0 then 'empty' when length_ % 512 <> 0 or offset_ % 512 <> 0 then 'misaligned'
            when offset_ + length_ > 4194304 then 'beyond' when kind = 'DISCARD' then 'discard' else lower(kind) end as decoded from {requests}
 """)
+#: A batch closes before a mutation that would make it exceed 63 descriptors or 1 MiB of payload.
 query("wal_batching", """
-    with b as (select image, seq, (row_number() over (partition by image, seq div 8192 order by seq) - 1) div 63 as batch, seq div 8192 as part, kind, blocks from {wal})
-    select image, part, batch, count(*) as descriptors, min(seq) as first, max(seq) as last, cast(sum(case when kind = 'WRITE' then blocks * 4096 else 0 end) as bigint) as payload_bytes from b group by image, part, batch
-""")
-query("batch_63", "select image, part, n div 63 as batch, count(*) as chunks from (select image, doc_id div 1024 as part, row_number() over (partition by image, doc_id div 1024 order by doc_id, k) - 1 as n from {chunks}) c group by 1, 2, 3")
+    with recursive d as (select image, row_number() over (partition by image order by seq) as n, seq, case when kind = 'WRITE' then blocks * 4096 else 0 end as bytes from {wal}),
+    f(image, n, seq, batch, held, payload) as (select image, n, seq, cast(0 as bigint), cast(1 as bigint), cast(bytes as bigint) from d where n = 1
+      union all select d.image, d.n, d.seq, f.batch + case when f.held = 63 or f.payload + d.bytes > 1048576 then 1 else 0 end, case when f.held = 63 or f.payload + d.bytes > 1048576 then 1 else f.held + 1 end,
+                       case when f.held = 63 or f.payload + d.bytes > 1048576 then d.bytes else f.payload + d.bytes end from f join d on d.image = f.image and d.n = f.n + 1)
+    select image, batch, count(*) as descriptors, min(seq) as first, max(seq) as last, max(payload) as payload_bytes from f group by image, batch
+""", lambda spark, sf_dir: folds.log_batches(run(spark, sf_dir, "select image, seq, case when kind = 'WRITE' then blocks * 4096 else 0 end as bytes from {wal}")))
+query("batch_63", "select image, n div 63 as batch, count(*) as chunks from (select image, row_number() over (partition by image order by doc_id, k) - 1 as n from {chunks}) c group by 1, 2",
+      lambda spark, sf_dir: run(spark, sf_dir, "select image, pos div 63 as batch, count(*) as chunks from {chunks} group by image, pos div 63"))
 query("contiguous_prefix", """
     with d as (select image, row_number() over (partition by image order by seq) as seq from {wal}), k as (select image, seq from d where (image * 37 + seq) % 1009 <> 0),
     r as (select image, seq, row_number() over (partition by image order by seq) as n from k)
     select image, cast(coalesce(max(case when seq = n then seq end), 0) as bigint) as published from r group by image
 """, lambda spark, sf_dir: wal.contiguous_prefix(run(spark, sf_dir, "select image, seq from (select image, row_number() over (partition by image order by seq) as seq from {wal}) d where (image * 37 + seq) % 1009 <> 0")))
 query("segment_chain", """
-    select segment, preceding, last, lag(last) over (partition by segment div 4096 order by segment) as previous_last, coalesce(preceding = lag(last) over (partition by segment div 4096 order by segment), true) as chained,
-           coalesce(epoch >= lag(epoch) over (partition by segment div 4096 order by segment), true) as epoch_ok from {segments}
+    select segment, preceding, last, lag(last) over (order by segment) as previous_last, coalesce(preceding = lag(last) over (order by segment), true) as chained,
+           coalesce(epoch >= lag(epoch) over (order by segment), true) as epoch_ok from {segments}
 """, lambda spark, sf_dir: previous(frame(spark, sf_dir, "segments"), "segment", {"previous_last": "last", "previous_epoch": "epoch"}).selectExpr(
     "segment", "preceding", "last", "previous_last", "coalesce(preceding = previous_last, true) as chained", "coalesce(epoch >= previous_epoch, true) as epoch_ok"))
 query("identity_check", """
     select i.event_id, i.seq from (select event_id, seq, start + case when event_id % 101 = 0 then 1 else 0 end as start, blocks from {wal}) i
     left join {wal} w on w.seq = i.seq and w.start = i.start and w.blocks = i.blocks where w.seq is null
 """)
+#: The tail beyond the fence must hold every number up to the last issued one, each once.
 query("live_tail", """
-    with t as (select w.image, w.seq, row_number() over (partition by w.image order by w.seq) as n from {wal} w cross join {cuts} c where w.seq > c.e)
-    select image, count(*) as mutations, min(seq) as first, max(seq) as last from t group by image
+    with t as (select w.image, w.seq, c.e, c.p from {wal} w cross join {cuts} c where w.seq > c.e),
+    whole as (select count(*) = max(p) - max(e) and min(seq) = max(e) + 1 and max(seq) = max(p) as dense, count(*) = count(distinct seq) as each_once from t)
+    select t.image, count(*) as mutations, min(t.seq) as first, max(t.seq) as last, whole.dense, whole.each_once from t cross join whole group by t.image, whole.dense, whole.each_once
 """)
 #: A read sees the log first (a staged zero hides what is below), then the manifest, then a hole.
 READ = """
@@ -146,17 +153,17 @@ query("block_lookup", f"""
     select p.image, p.block, p.n, e.seq from probes p left join e on e.image = p.image and p.block >= e.start and p.block < e.stop
 """, lambda spark, sf_dir: (lambda probes: probes.join(wal.overlay(frame(spark, sf_dir, "wal")).select("image", "block", "seq"), ["image", "block"], "left"))(run(spark, sf_dir, "select user_id % 4 as image, user_id * 3 % 200 as block, count(*) as n from {events} group by 1, 2")))
 query("manifest_apply", f"""
-    with g as (select image, generation, explode(sequence(start, stop - 1)) as block, seq, payload from {{edits}}), last as (select *, row_number() over (partition by image, block order by seq desc) as n from g where generation <= 3),
+    with g as (select image, generation, explode(sequence(start, stop - 1)) as block, seq, payload from {{edits}}), last as (select *, row_number() over (partition by image, block order by seq desc) as n from g),
     r as (select image, block, seq, payload, block - row_number() over (partition by image, seq order by block) as island from last where n = 1 and payload is not null)
     select image, min(block) as start, max(block) + 1 as stop, max(payload) as payload from r group by image, seq, island
 """, lambda spark, sf_dir: wal.intervals(frame(spark, sf_dir, "wal")).where("kind = 'WRITE'").select("image", "start", F.col("end").alias("stop"), "payload"))  # all generations
 query("version_asof", """
-    with v as (select explode(sequence(1, 4)) as g), b as (select image, generation, explode(sequence(start, stop - 1)) as block, seq, payload from {edits}),
+    with v as (select explode(sequence(1, 8)) as g), b as (select image, generation, explode(sequence(start, stop - 1)) as block, seq, payload from {edits}),
     x as (select v.g, b.image, b.block, max_by(b.payload, b.seq) as payload, max(b.seq) as seq from v join b on b.generation <= v.g group by v.g, b.image, b.block)
     select g as generation, image, count(*) as blocks, cast(sum(seq) as bigint) as seq_sum from x group by g, image
 """)
-query("snapshot_read", "with b as (select image, explode(sequence(start, stop - 1)) as block, seq, payload, generation from {edits}) select image, block, max(seq) as seq from b where generation <= 2 group by image, block")
-query("clone_image", "with b as (select image, explode(sequence(start, stop - 1)) as block, seq, generation from {edits}) select image + 100 as image, block, max(seq) as seq, 0 as durable from b where generation <= 2 and image = 1 group by image, block")
+query("snapshot_read", "with b as (select image, explode(sequence(start, stop - 1)) as block, seq, payload, generation from {edits}) select image, block, max(seq) as seq from b where generation <= 6 group by image, block")
+query("clone_image", "with b as (select image, explode(sequence(start, stop - 1)) as block, seq, generation from {edits}) select image + 100 as image, block, max(seq) as seq, 0 as durable from b where generation <= 6 group by image, block")
 query("compact_batch", """
     with picked as (select w.image, w.seq, w.kind, w.start, w.blocks, w.payload, sum(w.blocks) over (partition by w.image order by w.seq rows between unbounded preceding and current row) as so_far from {wal} w cross join {cuts} c where w.seq > c.d and w.seq <= c.e),
     b as (select image, explode(sequence(start, start + blocks - 1)) as block, seq, kind, payload from picked where so_far <= 2048)
@@ -181,8 +188,27 @@ query("hysteresis", """
       union all select d.image, d.n, d.used, case when d.used >= 100 then true when d.used < 60 then false else f.stopped end, f.stops + case when d.used >= 100 and not f.stopped then 1 else 0 end from f join d on d.image = f.image and d.n = f.n + 1)
     select image, count(*) as steps, cast(max(stops) as bigint) as stops, cast(sum(case when stopped then 1 else 0 end) as bigint) as stopped_steps, cast(sum(case when stopped or used >= 75 then 1 else 0 end) as bigint) as compaction_steps from f group by image
 """, lambda spark, sf_dir: folds.hysteresis(run(spark, sf_dir, "select user_id % 8 as image, event_id as n, (event_id * 37) % 120 as used from {events}")))
-query("drr_order", "", lambda spark, sf_dir: folds.deficit_round_robin(run(spark, sf_dir, "select id, queue as host, image, length_ as bytes from {requests} where kind in ('READ', 'WRITE')")), oracle=False)
-query("lru_sim", "", lambda spark, sf_dir: folds.lru(run(spark, sf_dir, "select user_id % 8 as host, event_id as n, user_id * 7 % 131 as content from {events}"), 10), oracle=False)
+#: For DuckDB in closed form: after r visits a queue has had r quanta, so a request is served at the visit that its running sum needs.
+query("drr_order", """
+    with q as (select id, queue as host, image, sum(length_) over (partition by queue, image order by id rows between unbounded preceding and current row) as so_far from {requests} where kind in ('READ', 'WRITE'))
+    select host, row_number() over (partition by host order by cast(ceil(so_far / 1048576.0) as bigint), image, id) as place, id, image from q
+""", lambda spark, sf_dir: folds.deficit_round_robin(run(spark, sf_dir, "select id, queue as host, image, length_ as bytes from {requests} where kind in ('READ', 'WRITE')")))
+#: For DuckDB by stack distance: an access hits if fewer contents than the cache holds were touched since the last access of its own.
+query("lru_sim", """
+    with a as (select user_id % 8 as host, event_id as n, user_id * 7 % 131 as content from {events}),
+    p as (select *, lag(n) over (partition by host, content order by n) as before from a),
+    d as (select p.host, p.n, count(distinct m.content) as between_ from p join a m on m.host = p.host and m.n > p.before and m.n < p.n group by p.host, p.n),
+    h as (select p.host, case when p.before is not null and coalesce(d.between_, 0) < 10 then 1 else 0 end as hit from p left join d on d.host = p.host and d.n = p.n),
+    held as (select host, least(count(distinct content), 10) as at_end from a group by host)
+    select h.host, cast(sum(hit) as bigint) as hits, cast(sum(1 - hit) as bigint) as misses, cast(sum(1 - hit) as bigint) as fills, cast(sum(1 - hit) - max(held.at_end) as bigint) as evictions from h join held on held.host = h.host group by h.host
+""", lambda spark, sf_dir: folds.lru(run(spark, sf_dir, "select user_id % 8 as host, event_id as n, user_id * 7 % 131 as content from {events}"), 10))
+#: Three demand requests, then one of the background, as long as a host has both.
+query("background_share", """
+    with r as (select queue as host, id, case when image % 8 >= 6 then 'background' else 'demand' end as class from {requests}),
+    n as (select *, row_number() over (partition by host, class order by id) - 1 as i, count(*) over (partition by host) - count(*) over (partition by host, class) as others from r),
+    k as (select host, id, class, case when class = 'background' then least(4 * i + 3, others + i) else i + least(i div 3, others) end as place from n)
+    select host, id, class, place from k
+""", lambda spark, sf_dir: folds.background_share(run(spark, sf_dir, "select queue as host, id, case when image % 8 >= 6 then 'background' else 'demand' end as class from {requests}")))
 query("budget_peak", """
     with c as (select user_id % 8 as image, event_id as n, case when event_type in ('error', 'click') then -1 else 1 end * (1 + event_id % 5) as delta from {events}),
     r as (select image, n, delta, sum(delta) over (partition by image order by n rows between unbounded preceding and current row) as level from c)

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from blockdb.functions import scalar
 from blockdb.plans.registry import query
+from blockdb.plans.views import frame, run
+
+
+def _counters(events):
+    k = scalar.counter(F.col("props"), "$.k")
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"), F.max(k).alias("most"))
+
 
 query("telemetry_window", "select guest, done_us div 500000 as window_, count(*) as n, cast(sum(ns) as bigint) as total_ns, max(ns) as max_ns from {reads} group by guest, done_us div 500000")
 query("telemetry_tail", "select guest, max_by(id, n) as id, max_by(bytes, n) as bytes, count(*) as samples from (select guest, id, n, cast(bytes as bigint) as bytes from {samples} where id % 10 <> 9) s group by guest")
-query("json_counter", "select event_type, count(*) as n, cast(sum(cast(get_json_object(props, '$.k') as bigint)) as bigint) as total, max(cast(get_json_object(props, '$.k') as bigint)) as most from {events} group by event_type")
+query("json_counter", "select event_type, count(*) as n, cast(sum(cast(get_json_object(props, '$.k') as bigint)) as bigint) as total, max(cast(get_json_object(props, '$.k') as bigint)) as most from {events} group by event_type",
+      lambda spark, sf_dir: _counters(frame(spark, sf_dir, "events")))  # an absent counter is an error
 query("log2_hist", """
     select reason, case when v = 0 then 0 else cast(floor(log2(v)) as bigint) + 1 end as bucket, count(*) as n, cast(sum(v) as bigint) as total, max(v) as most from (select reason, ns div 1000 * case when id % 40 = 0 then 0 else 1 end as v from {reads}) r group by 1, 2
 """)
@@ -18,10 +29,6 @@ union all select id, guest, 'verify', greatest(verified - first_byte, 0) from {m
 
 
 def _phases(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    from blockdb.plans.views import frame
-
     steps = ("received", "sent", "first_byte", "verified", "completed")
     rows = frame(spark, sf_dir, "milestones")  # one scan; each row's phases from an array
     rows = rows.select(F.explode(F.array(*(F.struct(F.lit(p).alias("phase"), F.greatest(F.col(b) - F.col(a), F.lit(0)).alias("ns")) for p, a, b in zip(("queued", "wire", "verify", "finish"), steps, steps[1:])))).alias("p"))
@@ -104,3 +111,31 @@ query("overlap_any", "select guest, bool_or(acked > 0 and gets > 0) as overlaps,
 query("block_stat_parse", "select id, cast(split_part(line, ' ', 2) as bigint) as reads_, cast(split_part(line, ' ', 4) as bigint) as sectors, cast(split_part(line, ' ', 4) as bigint) * 512 as bytes from (select id, concat('sda ', cast(k as string), ' 0 ', cast(ns as string), ' 9') as line from {reads}) s")
 query("cpuset_ranges", "with c as (select guest, cpu, cpu - row_number() over (partition by guest order by cpu) as island from (select distinct guest, k % 40 as cpu from {reads}) d) select guest, min(cpu) as first_cpu, max(cpu) as last_cpu, count(*) as cpus from c group by guest, island")
 query("quota_rollup", "select host, image, cast(sum(used) as bigint) as used, cast(sum(used) as bigint) < case when host is null then 100000000 when image is null then 2000000 else 400000 end as admits from (select guest % 4 as host, guest as image, k as used from {reads}) r group by rollup(host, image)")
+#: Byte counters of transfers from the text that the tool prints.
+TRANSFERS = "select id, concat('sent ', case when ns >= 1000 then concat(cast(ns div 1000 as string), ',', lpad(cast(ns % 1000 as string), 3, '0')) else cast(ns as string) end, ' bytes  received ', cast(k as string), ' bytes  9.00 bytes/sec') as line from {reads}"
+query("transfer_bytes", f"select id, cast(replace(split_part(line, ' ', 2), ',', '') as bigint) as sent, cast(split_part(line, ' ', 6) as bigint) as received from ({TRANSFERS}) t",
+      lambda spark, sf_dir: run(spark, sf_dir, TRANSFERS).select("id", scalar.transferred(F.col("line"), "sent").alias("sent"), scalar.transferred(F.col("line"), "received").alias("received")))
+#: Names in a plan's text that no value was given for.
+PLANS = "select day, arm, kase, concat('run <arm> on <', case day when 1 then 'disk' when 2 then 'host' else 'arm' end, '> for <', case when kase like '1%' then 'host' else 'seconds' end, '>') as plan from (select distinct day, arm, kase from {units}) u"
+query("unresolved_names", f"select day, arm, kase, replace(plan, '<arm>', arm) as plan, cast(length(replace(plan, '<arm>', arm)) - length(replace(replace(plan, '<arm>', arm), '<', '')) as int) as mentions, replace(plan, '<arm>', arm) like '%<disk>%' as needs_disk from ({PLANS}) p",
+      lambda spark, sf_dir: _unresolved(run(spark, sf_dir, PLANS)))
+
+
+def _unresolved(plans):
+    rows = plans.withColumn("plan", F.replace("plan", F.lit("<arm>"), F.col("arm")))
+    return rows.select("day", "arm", "kase", "plan", F.size(F.regexp_extract_all("plan", F.lit("<([a-z_]+)>"), F.lit(1))).alias("mentions"), F.array_contains(scalar.placeholders(F.col("plan")), "disk").alias("needs_disk"))
+
+
+#: A cohort served from memory has memory hits and no store hits, one served from the store the other way round; others are mixed.
+query("cohort_class", """
+    with c as (select guest, done_us div 3600000000 as slot, count_if(k % 50 = 0) as store_hits, count_if(k % 50 = 1) as memory_hits from {reads} group by 1, 2)
+    select guest, slot, store_hits, memory_hits, case when store_hits = 0 and memory_hits > 0 then 'memory' when memory_hits = 0 and store_hits > 0 then 'store' when store_hits = 0 then 'idle' else 'mixed' end as cohort from c
+""")
+#: The first 100 recorded actions of each guest.
+query("first_actions", "select guest, id, place from (select guest, id, row_number() over (partition by guest order by done_us, id) as place from {reads}) r where place <= 100")
+#: Blocks of a generator whose states follow from their number alone: one step of a xorshift of 31 bits from a mixed seed.
+query("generated_blocks", """
+    with s as (select event_id as block, (event_id * 48271 + 11) % 2147483647 as s0 from {events}), a as (select block, s0, (s0 * 8192) % 2147483648 as t1 from s),
+    b as (select block, bit_xor_(s0, t1) as s1 from a), c as (select block, bit_xor_(s1, s1 div 131072) as s2 from b), d as (select block, bit_xor_(s2, (s2 * 32) % 2147483648) as s3 from c)
+    select block, s3 as state, sha2(cast(s3 as string), 256) as content from d
+""")

@@ -34,7 +34,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql, **{n: frame(spark, sf_dir, n) for n in names_in(sql)})
+    return spark.sql(dialect.spark(sql), **{n: frame(spark, sf_dir, n) for n in names_in(sql)})
 
 
 def oracle(sql: str, used: list[str] | None = None) -> str:
