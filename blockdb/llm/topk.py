@@ -2,12 +2,12 @@
 
 Components become floor(64 * x). A vector is cut into segments; a segment's mean and standard deviation bound its part of a
 squared distance from below: |q - x|^2 >= sum over segments of m * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2), which is the same as an upper
-bound on q.x, since the norms are known. Pairs whose bound cannot reach the query's k-th score so far are dropped, first by 4 segments, then by 16; the rest
-get their exact product. Queries and rows are packed into blocks and meet in a grid: every block of rows meets every block of queries in just one cell, and a
+bound on q.x, since the norms are known. The rows of a query's k highest bounds give a score that k rows reach; pairs whose bound is below it, or below the
+query's k-th score so far, are dropped, first by 4 segments, then by 16; the rest get their exact product. Queries and rows are packed into blocks and meet in a grid: every block of rows meets every block of queries in just one cell, and a
 task streams a cell's rows past its queries.
 
 Nulls: vectors null, empty, or holding null or non-finite components take no part, nor do null ids. Shorter vectors count as filled up with zeros.
-vec_id names a row: rows that share the query's id are its own, and of a repeated id the best score counts. Ties go to the smaller vec_id.
+Every row is a candidate, repeated ones too, but for rows with the query's own id; queries that share an id share its k places. Ties go to the smaller vec_id. Other columns are not read. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -69,53 +69,47 @@ class Search:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
+        self.pairs = self.scored = 0  # pairs met, and pairs that no bound has ruled out
         self.least = np.full(len(ids), -np.inf)
         self.q, self.score, self.found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        for at in range(0, len(self.ids), 1024):
-            self._add(at, min(len(self.ids), at + 1024), ids, x)
+        for at in range(0, len(self.ids), 512):
+            self._add(at, min(len(self.ids), at + 512), ids, x)
         self._trim()
 
     def _add(self, a: int, b: int, ids: np.ndarray, x: np.ndarray) -> None:
+        """Bounds of all pairs, coarse to fine; queries and rows without a pair left are dropped after each level, and the pairs left get exact scores."""
         dim = max(self.x.shape[1], x.shape[1])
         pad = lambda m: m if m.shape[1] == dim else np.pad(m, ((0, 0), (0, dim - m.shape[1])))
-        q, x, least = pad(self.x[a:b]), pad(x), self.least[a:b]
-        live = None
-        if np.isfinite(least).any():
-            for segments in LEVELS:
-                bound = lambda q=q, s=segments: statistics(q, s) @ statistics(x, s).T
-                slack = 1e-6 * (1 + np.abs(least))
-                live = bound() >= (least - slack)[:, None] if live is None else live & (bound() >= (least - slack)[:, None])
-                if live.mean() < 0.05:
-                    break
-        if live is not None and live.mean() < 0.05:
-            i, j = np.nonzero(live)
-            score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[i[s : s + 65536]], x[j[s : s + 65536]]) for s in range(0, len(i), 65536))])
-            keep = score >= least[i]
-            i, j, score = i[keep], j[keep], score[keep]
-        else:
-            whole = q @ x.T
-            own = ids[None, :] == self.ids[a:b, None]
-            whole[own] = -np.inf
-            floor = least
-            order = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.diff(ids[order], prepend=ids[order[0]] - 1))
-            if len(first) >= self.k:
-                best = whole if len(first) == len(ids) else np.maximum.reduceat(whole[:, order], first, axis=1)  # a repeated id counts once
-                floor = np.maximum(least, np.partition(best, best.shape[1] - self.k, axis=1)[:, best.shape[1] - self.k])
-            i, j = np.nonzero((whole >= floor[:, None]) & ~own)
-            score = whole[i, j]
-        other = ids[j] != self.ids[a + i]
-        self.q, self.score, self.found = (np.concatenate(p) for p in ((self.q, a + i[other]), (self.score, score[other]), (self.found, ids[j[other]])))
+        q, x = pad(self.x[a:b]), pad(x)
+        live = ids[None, :] != self.ids[a:b, None]
+        qs, rows, least = np.arange(b - a), np.arange(len(ids)), self.least[a:b]
+        self.pairs += int(live.sum())
+        for segments in LEVELS:
+            bound = statistics(q[qs], segments) @ statistics(x[rows], segments).T
+            if segments == LEVELS[0] and len(rows) > self.k:
+                least = self._floor(bound, live, q, x, least)
+            floor = least[qs]
+            live &= bound >= np.where(np.isfinite(floor), floor - 1e-6 * (1 + np.abs(floor)), -np.inf)[:, None]
+            some = live.any(axis=1), live.any(axis=0)
+            live, qs, rows = live[np.ix_(*some)], qs[some[0]], rows[some[1]]
+            if not len(qs):
+                return
+        self.scored += int(live.sum())
+        score = q[qs] @ x[rows].T
+        i, j = np.nonzero(live & (score >= least[qs][:, None]))
+        self.q, self.score, self.found = (np.concatenate(p) for p in ((self.q, a + qs[i]), (self.score, score[i, j]), (self.found, ids[rows[j]])))
+
+    def _floor(self, bound: np.ndarray, live: np.ndarray, q: np.ndarray, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The k-th best exact score among the k rows of the highest bounds is a score that k rows reach."""
+        best = np.argpartition(np.where(live, bound, -np.inf), bound.shape[1] - self.k, axis=1)[:, bound.shape[1] - self.k :]
+        exact = np.einsum("ijk,ik->ij", x[best], q)
+        exact[~np.take_along_axis(live, best, axis=1)] = -np.inf
+        return np.maximum(least, exact.min(axis=1))
 
     def _trim(self) -> None:
-        """The k best ids of each query, each by its best score."""
-        order = np.lexsort((-self.score, self.found, self.q))
-        once = np.ones(len(order), bool)
-        once[1:] = (np.diff(self.q[order]) != 0) | (np.diff(self.found[order]) != 0)
-        order = order[once]
-        self.q, self.score, self.found = self.q[order], self.score[order], self.found[order]
+        """The k best rows of each query."""
         order = np.lexsort((self.found, -self.score, self.q))
         q = self.q[order]
         first = np.searchsorted(q, np.arange(len(self.ids)))
@@ -162,7 +156,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     )
     cells = grid.repartition(max(n, blocks * slices), "g", "s").sortWithinPartitions("g", "s", "kind")
     best = cells.mapInArrow(lambda it: _cells(it, k), "query_id long, vec_id long, score long")
-    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

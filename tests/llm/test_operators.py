@@ -397,7 +397,7 @@ def test_lm_capacity_grows(spark, docs, monkeypatch):
 
 
 def test_topk_repeated_ids(spark):
-    """Of a repeated id the best score counts, and its copies push no other id out; a query's own rows are never found."""
+    """Every row is a candidate, as the registered SQL has it; rows with the query's own id never are."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 16)).astype(np.float32)
     ids = list(range(300))
@@ -406,19 +406,32 @@ def test_topk_repeated_ids(spark):
         x = np.concatenate((x, np.tile(4 * x[20 * i], (60, 1))))
     ids += [0] * 40
     x = np.concatenate((x, np.tile(5 * x[0], (40, 1))))
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<float>").coalesce(1)
+    df = spark.createDataFrame([(i, [float(v) for v in r], "x") for i, r in zip(ids, x)], "vec_id long, embedding array<float>, score string").coalesce(1)
     q = np.floor(64 * x.astype(np.float64)).astype(np.int64)
-    scores, want = q @ q.T, set()
+    scores, want = q @ q.T, []
     asked = [0, 20, 40, 60]
     for i in asked:
-        best = {}
-        for a in np.flatnonzero(np.array(ids) == i):
-            for j, d in enumerate(ids):
-                if d != i:
-                    best[d] = max(best.get(d, -(10**18)), int(scores[a, j]))
-        order = sorted(best, key=lambda d: (-best[d], d))[:20]
-        want |= {(i, n + 1, d, best[d]) for n, d in enumerate(order)}
-    assert {tuple(r) for r in topk.search(df, df.where("vec_id in (0, 20, 40, 60)")).collect()} == want
+        best = sorted((-int(scores[a, j]), d) for a in np.flatnonzero(np.array(ids) == i) for j, d in enumerate(ids) if d != i)[:20]
+        want += [(i, n + 1, d, -s) for n, (s, d) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.search(df, df.where("vec_id in (0, 20, 40, 60)")).collect()) == sorted(want)
+
+
+def test_topk_prunes():
+    """On vectors in clusters most pairs are ruled out by bounds, and nothing is lost; vectors of several lengths meet."""
+    rng = np.random.default_rng(6)
+    centres = 8 * rng.normal(size=(20, 16)).repeat(4, axis=1)
+    x = np.floor(64 * (centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 64))))
+    ids = np.arange(3000)
+    search = topk.Search(ids[::50], x[::50], 20)
+    for at in range(0, 3000, 1000):
+        search.add(ids[at : at + 1000], x[at : at + 1000])
+    assert search.scored < 0.3 * search.pairs
+    scores = x[::50] @ x.T
+    for n, i in enumerate(ids[::50]):
+        want = sorted(((-scores[n, j], j) for j in range(3000) if j != i))[:20]
+        assert [(-s, j) for s, j in zip(search.score[search.q == n], search.found[search.q == n])] == [(float(s), j) for s, j in want]
+    search.add(np.array([9000]), np.full((1, 70), 1e6))
+    assert (search.found == 9000).sum() > 0
 
 
 def test_words_made_to_collide(spark):
