@@ -8,7 +8,7 @@ up to `max_repeats` times, the last pass in part.
 Every source's documents are permuted by hash and laid end to end; a block takes the next weight * block tokens from each. Positions are sums over
 hash buckets of bounded size plus the buckets' own sums, so that a source of any size is no single group. Within a block the order is by hash.
 
-Tokens are words and one end a document. Nulls: a null source is a source of its own, a null text has the end alone; null ids and repeated rows are rows of their own. No rows: no rows.
+Tokens are words and one end a document. Nulls: a null source is a source of its own, a null text has the end alone; null ids and repeated rows are rows of their own (rows alike in all have one place, in any order). A text of any length is one document. `mix` passes other columns on unchanged, whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockdb.llm import common
+from blockdb.operators.sequence import running_base
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1 << 17
@@ -64,7 +65,8 @@ def place(docs: DataFrame, extra: list[Column], max_repeats: float = MAX_REPEATS
     """A row for each appearance of a document: `extra`, source, n_tokens, copy, block, weight, turn (the order within the block)."""
     key = F.concat(F.when(F.col("source").isNull(), "").otherwise("="), F.coalesce(F.col("source").cast("string"), F.lit("")))
     rows = docs.select(*extra, F.col("source").alias("__source"), key.alias("__key"), token_count(F.col("text")).alias("__n"), F.xxhash64("doc_id", "text").alias("__h"))
-    totals = common.materialize(rows.groupBy("__key").agg(F.sum("__n").alias("tokens")), "mix-sources")
+    facts = common.materialize(rows.select("__key", "__n", "__h"), "mix-facts")  # texts are counted here and once more with their rows
+    totals = common.materialize(facts.groupBy("__key").agg(F.sum("__n").alias("tokens")), "mix-sources")
     exponent = solve_exponent(totals, max_repeats, min_entropy)
     sums = totals.agg(F.sum("tokens").alias("all"), F.max("tokens").alias("top"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(exponent))).alias("z")).first()
     if not sums["all"]:
@@ -83,10 +85,10 @@ def place(docs: DataFrame, extra: list[Column], max_repeats: float = MAX_REPEATS
     rows = rows.join(sources, "__key").withColumn("__bucket", F.pmod(F.xxhash64("__h", F.lit(1)), F.col("__buckets")).cast("int"))
     within = Window.partitionBy("__key", "__bucket").orderBy("__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__at", F.sum("__n").over(within) - F.col("__n"))
-    heads = docs.select(key.alias("__key"), token_count(F.col("text")).alias("__n"), F.xxhash64("doc_id", "text").alias("__h")).join(sources, "__key")
+    heads = facts.join(sources, "__key")
     heads = heads.groupBy("__key", F.pmod(F.xxhash64("__h", F.lit(1)), F.col("__buckets")).cast("int").alias("__bucket")).agg(F.sum("__n").alias("__sum"))
-    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heads = common.materialize(heads.withColumn("__base", F.sum("__sum").over(before) - F.col("__sum")).drop("__sum"), "mix-buckets")
+    heads = common.materialize(running_base(heads, F.col("__sum"), "__bucket", ["__key"], "__base").drop("__sum"), "mix-buckets")
+    common.release(facts)
     rows = rows.join(heads, ["__key", "__bucket"])
     position = F.col("__base") + F.col("__at")
     rows = rows.withColumn("__position", position).withColumn("copy", F.explode(F.sequence(F.lit(0), (F.ceil("__repeats") - 1).cast("int"))))
