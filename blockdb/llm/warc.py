@@ -4,7 +4,7 @@
 record). Of records with the same payload of at least `least` bytes, the one with the largest page_id is the response and the others are
 revisits of it. `read` verifies the digests and gives each record's facts back; `records` rebuilds the records' bytes.
 
-Nulls: null html is an empty payload; a null url or page_id is written as an empty field. A null page_id ranks below every
+Nulls: null html is an empty payload; a null url or page_id is written as an empty field; line ends in a url are written as %0D and %0A. Payloads of any size are whole; other columns are not read. A null page_id ranks below every
 other; with only null ids in a group, all are responses. Repeated rows with the largest page_id are all responses. No rows: empty tables.
 """
 
@@ -46,9 +46,11 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> None:
         F.lit("WARC/1.0" + BREAK),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(F.col("page_id"))),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.when(revisit, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))).otherwise(F.lit("")),
         F.when(revisit, line("WARC-Refers-To", urn(F.col("last")))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
+        line("WARC-Target-URI", F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
         F.lit(BREAK),
     )
