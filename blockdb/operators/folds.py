@@ -1,6 +1,6 @@
 """Ordered folds: admission with hysteresis, deficit round robin, least-recently-used caches. One group is one host or image, in its own order.
 
-The state of each depends on all earlier rows of its group, so a group is folded in one task; groups are as parallel as there are hosts or images.
+But for hysteresis and shares of the background, state depends on all earlier rows of its group, so a group is folded in one task; groups are as parallel as there are hosts or images.
 """
 
 from __future__ import annotations
@@ -12,24 +12,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockdb.operators.sequence import dense_number
+from blockdb.operators.sequence import dense_number, last_before
 
 QUANTUM = 1 << 20
 
 
 def hysteresis(levels: DataFrame) -> DataFrame:
-    """Stopped at 100 %, open again below 60 %, compacting from 75 % or while stopped. `levels`: image, n, used (percent). Stays in the JVM."""
-    start = F.struct(F.lit(False).alias("stopped"), F.lit(0).cast("long").alias("stops"), F.lit(0).cast("long").alias("stopped_steps"), F.lit(0).cast("long").alias("compaction_steps"))
-
-    def step(s, x):
-        full = x["used"] >= 100
-        stopped = F.when(full, True).when(x["used"] < 60, False).otherwise(s["stopped"])
-        one = lambda c: F.when(c, 1).otherwise(0).cast("long")
-        return F.struct(stopped.alias("stopped"), (s["stops"] + one(full & ~s["stopped"])).alias("stops"), (s["stopped_steps"] + one(stopped)).alias("stopped_steps"), (s["compaction_steps"] + one(stopped | (x["used"] >= 75))).alias("compaction_steps"))
-
-    rows = levels.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("n", "used"))).alias("rows"))
-    rows = rows.withColumn("end", F.aggregate("rows", start, step))
-    return rows.select("image", F.size("rows").cast("long").alias("steps"), "end.stops", "end.stopped_steps", "end.compaction_steps")
+    """Stopped at 100 %, open again below 60 %, compacting from 75 % or while stopped. `levels`: image, n, used (percent).
+
+    Only levels from 100 % and below 60 % decide; between them the last decision holds, so it is carried along and nothing is folded.
+    """
+    used = F.col("used")
+    decided = F.when(used >= 100, True).when(used < 60, False)
+    rows = last_before(levels, decided, "n", "before", ["image"]).withColumn("before", F.coalesce("before", F.lit(False)))
+    rows = rows.withColumn("stopped", F.coalesce(decided, F.col("before")))
+    return rows.groupBy("image").agg(
+        F.count(F.lit(1)).alias("steps"), F.count_if((used >= 100) & ~F.col("before")).alias("stops"), F.count_if("stopped").alias("stopped_steps"),
+        F.count_if(F.col("stopped") | (used >= 75)).alias("compaction_steps"),
+    )
 
 
 def deficit_round_robin(requests: DataFrame) -> DataFrame:

@@ -32,12 +32,11 @@ def overlay(wal: DataFrame) -> DataFrame:
 
 
 def intervals(wal: DataFrame) -> DataFrame:
-    """The overlay as maximal disjoint ranges [start, end) of one mutation."""
+    """The overlay as maximal disjoint ranges [start, end) of one mutation. Windows see the blocks of a single mutation."""
     rows = overlay(wal)
-    w = Window.partitionBy("image").orderBy("block")
-    new = (F.col("block") != F.lag("block").over(w) + 1) | (F.col("seq") != F.lag("seq").over(w))
-    rows = rows.withColumn("run", F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(w))
-    return rows.groupBy("image", "run").agg(F.min("block").alias("start"), (F.max("block") + 1).alias("end"), F.min("seq").alias("seq"), F.min("kind").alias("kind"), F.min("payload").alias("payload")).drop("run")
+    island = F.col("block") - F.row_number().over(Window.partitionBy("image", "seq").orderBy("block"))
+    runs = rows.withColumn("island", island).groupBy("image", "seq", "island").agg(F.min("block").alias("start"), (F.max("block") + 1).alias("end"), F.min("kind").alias("kind"), F.min("payload").alias("payload"))
+    return runs.select("image", "start", "end", "seq", "kind", "payload")
 
 
 def covered(wal: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blockdb.operators import census
+from blockdb.operators.sequence import last_before, previous
 from blockdb.plans.registry import query
-from blockdb.plans.views import frame
+from blockdb.plans.views import frame, run
 
 
 def on_chunks(operator, view: str = "chunks"):
@@ -84,7 +85,18 @@ query(
     r as (select *, pos - row_number() over (partition by image, hole order by pos) as island_a, row_number() over (partition by image order by pos) - row_number() over (partition by image, hole order by pos) as island from b)
     select image, hole, min(pos) as start, max(pos) + 1 as stop, count(*) as units from r group by image, hole, island
     """,
+    lambda spark, sf_dir: _runs(run(spark, sf_dir, "select user_id % 4 as image, event_id as pos, case when event_type = 'error' then 1 else 0 end as hole from {events}")),
 )
+
+
+def _runs(units):
+    """Each unit's run is named by the run's first unit, carried along."""
+    rows = previous(units, "pos", {"before": "hole"}, ["image"]).withColumn("begins", F.expr("case when before is distinct from hole then pos end"))
+    rows = last_before(rows, F.col("begins"), "pos", "began", ["image"]).withColumn("run", F.coalesce("begins", "began"))
+    return rows.groupBy("image", "hole", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.count(F.lit(1)).alias("units")).drop("run")
+
+
+
 #: A tree: ranges of 4096 chunks are digested by themselves, and an image's digest is that of its ranges' digests.
 query("image_digest", """
     with r as (select image, pos div 4096 as part, sum(len) as bytes, count(*) as chunks, sha2(string_agg(coalesce(hash, '0'), '' order by pos), 256) as digest from {chunks} group by image, pos div 4096)

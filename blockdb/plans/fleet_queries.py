@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from blockdb.operators import placement
+from blockdb.operators.sequence import previous
 from blockdb.plans.registry import query
-from blockdb.plans.views import frame
+from blockdb.plans.views import frame, run
 
 query("placement_topk", "select hash, cast(member as int) as member, cast(place as int) as place from {scores} where place <= 2",
       lambda spark, sf_dir: placement.owners(frame(spark, sf_dir, "hashes"), 4, 2))
@@ -51,13 +52,15 @@ query("migrate_plan", """
     select w.image, max(c.d) as durable, max(c.e) as cut, count(case when w.seq > c.d and w.seq <= c.e then 1 end) as tail_mutations, cast(coalesce(sum(case when w.seq > c.d and w.seq <= c.e and w.kind = 'WRITE' then w.blocks * 4096 end), 0) as bigint) as tail_bytes,
            max((w.seq - 1) div 500 + 2) as fence_generation from {wal} w cross join {cuts} c group by w.image
 """)
-query("writer_transitions", """
-    with h as (select image, generation, root % 4 as writer, case generation % 4 when 0 then 'Claiming' when 1 then 'Active' when 2 then 'Fenced' else 'Receiving' end as phase, durable from {commits}),
-    p as (select *, lag(generation) over w as old_generation, lag(writer) over w as old_writer, lag(phase) over w as old_phase, lag(durable) over w as old_durable from h window w as (partition by image order by generation))
-    select image, generation, phase, case when old_phase is null then 'first' when generation = old_generation and writer = old_writer and phase = old_phase and durable = old_durable then 'retry'
+WRITERS = "select image, generation, root % 4 as writer, case generation % 4 when 0 then 'Claiming' when 1 then 'Active' when 2 then 'Fenced' else 'Receiving' end as phase, durable from {commits}"
+VERDICT = """case when old_phase is null then 'first' when generation = old_generation and writer = old_writer and phase = old_phase and durable = old_durable then 'retry'
              when generation = old_generation + 1 and old_phase = 'Active' and phase = 'Fenced' and writer <> old_writer and durable >= old_durable then 'handoff' when generation > old_generation and old_phase = 'Fenced' and phase = 'Receiving' then 'receive'
-             when old_phase in ('Receiving', 'Claiming') and phase = 'Active' and writer = old_writer and durable = old_durable then 'activate' else 'refused' end as verdict from p
-""")
+             when old_phase in ('Receiving', 'Claiming') and phase = 'Active' and writer = old_writer and durable = old_durable then 'activate' else 'refused' end as verdict"""
+query("writer_transitions", f"""
+    with h as ({WRITERS}),
+    p as (select *, lag(generation) over w as old_generation, lag(writer) over w as old_writer, lag(phase) over w as old_phase, lag(durable) over w as old_durable from h window w as (partition by image order by generation))
+    select image, generation, phase, {VERDICT} from p
+""", lambda spark, sf_dir: previous(run(spark, sf_dir, WRITERS), "generation", {f"old_{c}": c for c in ("generation", "writer", "phase", "durable")}, ["image"]).selectExpr("image", "generation", "phase", VERDICT))
 RACES = """
 select id, ns, ns div 3 as budget, ns as first_done, case when k % 3 = 0 then null else ns div 2 + k end as second_done, id % 11 <> 0 as first_ok, id % 7 <> 0 as second_ok from {reads}
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blockdb.operators import folds, wal
-from blockdb.operators.sequence import previous
+from blockdb.operators.sequence import last_before, previous, running_base
 from blockdb.plans.registry import query
 from blockdb.plans.views import frame, run
 
@@ -48,16 +48,17 @@ query("rejected_suffix", """
 query("prefix_cut", "select w.image, count(*) as kept, min(w.seq) as first, max(case when w.seq <= c.d then 1 else 0 end) as leaked from {wal} w cross join {cuts} c where w.seq > c.d group by w.image")
 query("transfer_tail", "select w.image, w.seq, w.kind, w.start, w.blocks from {wal} w cross join {cuts} c where w.seq > c.d and w.seq <= c.e")
 query("prefix_status", "select p as published, e as fenced, d as compacted, d <= e and e <= p as ordered from {cuts}")
-#: The last mutation before a fence is in the fence's range or is the last one of the ranges before; a fence before all mutations has none.
-FENCES = """
-    with e as (select event_id, seq, event_id div 4096 as part, false as fence from {wal} union all select event_id, cast(null as bigint), event_id div 4096, true from {flushes}),
-    i as (select event_id, part, fence, max(seq) over (partition by part order by event_id range between unbounded preceding and 1 preceding) as within from e),
-    p as (select part, max(last) over (order by part rows between unbounded preceding and 1 preceding) as before from (select part, max(seq) as last from e group by part) x)
-    select i.event_id as fence, max(coalesce(i.within, p.before)) as through from i join p on p.part = i.part where i.fence group by i.event_id
-"""
 query("fence_boundary", """
     select f.event_id as fence, w.seq as through from {flushes} f asof left join {wal} w on f.event_id > w.event_id
-""", lambda spark, sf_dir: run(spark, sf_dir, FENCES))
+""", lambda spark, sf_dir: _fences(spark, sf_dir))
+
+
+def _fences(spark, sf_dir):
+    """Fences and mutations in one order; a fence before all mutations has none."""
+    both = frame(spark, sf_dir, "wal").select("event_id", "seq").unionByName(frame(spark, sf_dir, "flushes").selectExpr("event_id", "cast(null as bigint) as seq"))
+    return last_before(both, F.col("seq"), "event_id", "through").where("seq is null").select(F.col("event_id").alias("fence"), "through")
+
+
 query("fence_cut", """
     with last as (select max(event_id) as slot from {flushes} where event_id % 5 <> 0)
     select w.image, count(*) as replayed, max(w.seq) as last from {wal} w cross join last l where w.event_id <= l.slot group by w.image
@@ -168,7 +169,14 @@ query("compact_batch", """
     with picked as (select w.image, w.seq, w.kind, w.start, w.blocks, w.payload, sum(w.blocks) over (partition by w.image order by w.seq rows between unbounded preceding and current row) as so_far from {wal} w cross join {cuts} c where w.seq > c.d and w.seq <= c.e),
     b as (select image, explode(sequence(start, start + blocks - 1)) as block, seq, kind, payload from picked where so_far <= 2048)
     select image, count(distinct block) as blocks, max(seq) as through, count(distinct case when kind = 'WRITE' then payload end) as payloads from b group by image
-""")
+""", lambda spark, sf_dir: _compact(run(spark, sf_dir, "select w.* from {wal} w cross join {cuts} c where w.seq > c.d and w.seq <= c.e")))
+
+
+def _compact(log):
+    picked = running_base(log, F.col("blocks"), "seq", ["image"]).where("base + blocks <= 2048")
+    return wal.blocks_of(picked).groupBy("image").agg(F.count_distinct("block").alias("blocks"), F.max("seq").alias("through"), F.count_distinct(F.expr("case when kind = 'WRITE' then payload end")).alias("payloads"))
+
+
 query("reclaim_plan", """
     with pins as (select distinct batch from {batches} where payload % 211 = 0), b as (select batch, min(seq) as first, max(seq) as last, count(*) as n from {batches} group by batch)
     select b.batch, b.last <= c.d and p.batch is null as punch, b.last <= c.d and p.batch is not null as pinned, b.n from b cross join {cuts} c left join pins p on p.batch = b.batch
@@ -213,4 +221,10 @@ query("budget_peak", """
     with c as (select user_id % 8 as image, event_id as n, case when event_type in ('error', 'click') then -1 else 1 end * (1 + event_id % 5) as delta from {events}),
     r as (select image, n, delta, sum(delta) over (partition by image order by n rows between unbounded preceding and current row) as level from c)
     select image, cast(max(level) as bigint) as peak, cast(sum(delta) as bigint) as current_level, cast(sum(case when delta > 0 then delta else 0 end) as bigint) as admitted, cast(sum(case when delta < 0 then -delta else 0 end) as bigint) as released from r group by image
-""")
+""", lambda spark, sf_dir: _budget(run(spark, sf_dir, "select user_id % 8 as image, event_id as n, case when event_type in ('error', 'click') then -1 else 1 end * (1 + event_id % 5) as delta from {events}")))
+
+
+def _budget(changes):
+    rows = running_base(changes, F.col("delta"), "n", ["image"])
+    total = lambda c, name: F.expr(f"cast(sum({c}) as bigint)").alias(name)
+    return rows.groupBy("image").agg(F.expr("cast(max(base + delta) as bigint)").alias("peak"), total("delta", "current_level"), total("case when delta > 0 then delta else 0 end", "admitted"), total("case when delta < 0 then -delta else 0 end", "released"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blockdb.functions import scalar
+from blockdb.operators.sequence import first_rows, previous, running_base
 from blockdb.plans.registry import query
 from blockdb.plans.views import frame, run
 
+RING = 1024
+HOUR_US = 3_600_000_000
+
 
 def _counters(events):
     k = scalar.counter(F.col("props"), "$.k")
@@ -65,8 +69,19 @@ with r as (select guest, ns, row_number() over (partition by guest order by ns,
 p as (select explode(array(5000, 9000, 9900, 9990, 9999)) as pct)
 select r.guest, p.pct, r.ns as value from r cross join p where r.place = greatest(0, least(r.n - 1, cast(bround(p.pct * r.n / 10000.0) as bigint) - 1)) + 1
 """
-query("nearest_rank", NEAREST)
-query("guest_spread", f"with v as ({NEAREST}) select pct, min(value) as least_, max(value) as most, cast(sum(value) as double) / count(*) as mean from v group by pct")
+
+
+def _nearest(spark, sf_dir):
+    """Ranks by the running count of distinct values, so no task sorts a guest's reads."""
+    values = frame(spark, sf_dir, "reads").groupBy("guest", "ns").agg(F.count(F.lit(1)).alias("n"))
+    total = values.groupBy("guest").agg(F.sum("n").alias("total")).withColumn("pct", F.explode(F.array(*map(F.lit, (5000, 9000, 9900, 9990, 9999)))))
+    wanted = total.selectExpr("guest", "pct", "greatest(0, least(total - 1, cast(bround(pct * total / 10000.0) as bigint) - 1)) + 1 as place")
+    return running_base(values, F.col("n"), "ns", ["guest"]).join(wanted, "guest").where("base < place and place <= base + n").select("guest", "pct", F.col("ns").alias("value"))
+
+
+query("nearest_rank", NEAREST, _nearest)
+query("guest_spread", f"with v as ({NEAREST}) select pct, min(value) as least_, max(value) as most, cast(sum(value) as double) / count(*) as mean from v group by pct",
+      lambda spark, sf_dir: _nearest(spark, sf_dir).groupBy("pct").agg(F.min("value").alias("least_"), F.max("value").alias("most"), F.expr("cast(sum(value) as double) / count(*)").alias("mean")))
 query("race_budget", "select kase, greatest(1, cast(bround(median(p99) / 1000.0) as bigint)) as budget_us from {units} group by kase")
 query("repeat_plan", """
     with g as (select day, arm, kase, count(*) as finished, max(rep) as rep, (max(p99) - min(p99)) / nullif(median(p99), 0) as spread from {units} group by day, arm, kase)
@@ -95,18 +110,47 @@ query("clock_bracket", """
 query("first_after_anchor", """
     with a as (select guest, min(received) + 3600000000000 as anchor from {milestones} group by guest), ring as (select m.guest, m.received, row_number() over (partition by m.guest order by m.id desc) as back from {milestones} m)
     select a.guest, min(case when r.received > a.anchor then r.received end) - a.anchor as ns, count(*) >= 1024 and count_if(r.received > a.anchor) = count(*) as censored from a join ring r on r.guest = a.guest and r.back <= 1024 group by a.guest, a.anchor
-""")
-query("ring_recent", "select guest, id, ns from (select guest, id, ns, row_number() over (partition by guest order by done_us desc, id desc) as back from {reads}) r where back <= 1024")
+""", lambda spark, sf_dir: _after_anchor(frame(spark, sf_dir, "milestones").select("guest", "id", "received")))
+
+
+def _after_anchor(rows):
+    anchors = rows.groupBy("guest").agg((F.min("received") + 3600000000000).alias("anchor"))
+    ring = first_rows(rows, RING, [F.desc("id")], ["guest"], "id").join(anchors, "guest")
+    later = F.col("received") > F.col("anchor")
+    return ring.groupBy("guest", "anchor").agg(F.min(F.when(later, F.col("received"))).alias("first"), F.count(F.lit(1)).alias("n"), F.count_if(later).alias("after")).selectExpr("guest", "first - anchor as ns", f"n >= {RING} and after = n as censored")
+
+
+
+query("ring_recent", "select guest, id, ns from (select guest, id, ns, row_number() over (partition by guest order by done_us desc, id desc) as back from {reads}) r where back <= 1024",
+      lambda spark, sf_dir: first_rows(frame(spark, sf_dir, "reads").select("guest", "id", "ns", "done_us"), RING, [F.desc("done_us"), F.desc("id")], ["guest"], "id").drop("done_us"))
 query("recent_tail", "select guest, id, ns from (select r.guest, r.id, r.ns, row_number() over (partition by r.guest order by r.done_us desc, r.id desc) as back from {reads} r join (select guest, max(done_us) as last from {reads} group by guest) l on l.guest = r.guest where r.done_us > l.last - 86400000000) t where back <= 16")
 query("slowest_reads", "select id, guest, ns from {reads} order by ns desc, id limit 32")
 query("stall_attribution", """
     with e as (select guest, id, reason, done_us, lead(done_us) over (partition by guest order by done_us, id) as next_us from {reads})
     select guest, reason, cast(sum(next_us - done_us) as bigint) as stalled_us, count(*) as waits from e where next_us is not null group by guest, reason
-""")
+""", lambda spark, sf_dir: _stalls(frame(spark, sf_dir, "reads").select("guest", "id", "reason", "done_us")))
+
+
+def _stalls(rows):
+    """A wait belongs to the read before; ranges of time are an hour each."""
+    pairs = previous(rows, "done_us", {"since": "done_us", "why": "reason"}, ["guest"], "id", HOUR_US).where("since is not null")
+    return pairs.groupBy("guest", F.col("why").alias("reason")).agg(F.expr("cast(sum(done_us - since) as bigint)").alias("stalled_us"), F.count(F.lit(1)).alias("waits"))
+
+
+
 query("disjoint_blocked", """
     with r as (select guest, id, done_us - ns div 1000 as lo, done_us as hi, lag(done_us) over (partition by guest order by id) as blocked_to, lag(done_us - ns div 1000) over (partition by guest order by id) as blocked_from from {reads})
     select guest, count(*) as n, count_if(hi <= blocked_from or lo >= blocked_to) as disjoint_, cast(sum(case when hi <= blocked_from or lo >= blocked_to then hi - lo else 0 end) as bigint) as disjoint_us from r where blocked_to is not null group by guest
-""")
+""", lambda spark, sf_dir: _disjoint(run(spark, sf_dir, "select guest, id, done_us - ns div 1000 as lo, done_us as hi from {reads}")))
+
+
+def _disjoint(rows):
+    rows = previous(rows, "id", {"blocked_to": "hi", "blocked_from": "lo"}, ["guest"]).where("blocked_to is not null")
+    apart = "hi <= blocked_from or lo >= blocked_to"
+    return rows.groupBy("guest").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(apart)).alias("disjoint_"), F.expr(f"cast(sum(case when {apart} then hi - lo else 0 end) as bigint)").alias("disjoint_us"))
+
+
+
 query("overlap_any", "select guest, bool_or(acked > 0 and gets > 0) as overlaps, count_if(acked > 0 and gets > 0) as intervals from (select guest, done_us div 600000000 as slot, count_if(k % 5 = 0) as acked, count_if(k % 7 = 0) as gets from {reads} group by 1, 2) s group by guest")
 query("block_stat_parse", "select id, cast(split_part(line, ' ', 2) as bigint) as reads_, cast(split_part(line, ' ', 4) as bigint) as sectors, cast(split_part(line, ' ', 4) as bigint) * 512 as bytes from (select id, concat('sda ', cast(k as string), ' 0 ', cast(ns as string), ' 9') as line from {reads}) s")
 query("cpuset_ranges", "with c as (select guest, cpu, cpu - row_number() over (partition by guest order by cpu) as island from (select distinct guest, k % 40 as cpu from {reads}) d) select guest, min(cpu) as first_cpu, max(cpu) as last_cpu, count(*) as cpus from c group by guest, island")

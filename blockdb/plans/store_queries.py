@@ -50,8 +50,9 @@ query("gc_relocate", """
 query("asof_commit", "select image, max_by(generation, generation) as generation, max_by(root, generation) as root, max_by(durable, generation) as durable from {commits} where complete = 1 group by image")
 query("publish_check", """
     select image, generation, coalesce(generation = lag(generation) over (partition by image order by generation) + 1, generation = 1) as expected, coalesce(durable >= lag(durable) over (partition by image order by generation), true) as durable_ok from {commits}
-""")
-query("monotonic_check", "select image, count(*) as versions, count_if(durable < before) as backwards from (select image, durable, lag(durable) over (partition by image order by generation) as before from {commits}) x group by image")
+""", lambda spark, sf_dir: previous(frame(spark, sf_dir, "commits"), "generation", {"old": "generation", "before": "durable"}, ["image"]).selectExpr("image", "generation", "coalesce(generation = old + 1, generation = 1) as expected", "coalesce(durable >= before, true) as durable_ok"))
+query("monotonic_check", "select image, count(*) as versions, count_if(durable < before) as backwards from (select image, durable, lag(durable) over (partition by image order by generation) as before from {commits}) x group by image",
+      lambda spark, sf_dir: previous(frame(spark, sf_dir, "commits"), "generation", {"before": "durable"}, ["image"]).groupBy("image").agg(F.count(F.lit(1)).alias("versions"), F.count_if(F.expr("durable < before")).alias("backwards")))
 query("live_pins", "with p as (select root % 97 as key_, case when generation % 3 = 0 then -1 else 1 end as delta from {commits}) select key_, cast(sum(delta) as bigint) as owners from p group by key_ having sum(delta) > 0")
 query("page_reclaim", """
     with pages as (select image_blocks as page, image, generation from {commits}), roots as (select image, max(generation) as newest from {commits} group by image),

@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockdb.operators import census, placement, wal
-from blockdb.operators.sequence import dense_number
+from blockdb.operators.sequence import dense_number, running_bases
 from blockdb.plans import dialect
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -151,6 +152,7 @@ view(
     from {reads}
     """,
 )
-view("samples", "select guest, id, row_number() over (partition by guest order by id) as n, sum(ns) over (partition by guest order by id rows between unbounded preceding and current row) as bytes, sum(k) over (partition by guest order by id rows between unbounded preceding and current row) as gets, done_us from {reads}")
+view("samples", "select guest, id, row_number() over (partition by guest order by id) as n, sum(ns) over (partition by guest order by id rows between unbounded preceding and current row) as bytes, sum(k) over (partition by guest order by id rows between unbounded preceding and current row) as gets, done_us from {reads}",
+     lambda spark, sf_dir: running_bases(frame(spark, sf_dir, "reads"), {"n": F.lit(1), "bytes": F.col("ns"), "gets": F.col("k")}, "id", ["guest"]).selectExpr("guest", "id", "n + 1 as n", "bytes + coalesce(ns, 0) as bytes", "gets + coalesce(k, 0) as gets", "done_us"))
 view("units", "select o_orderkey % 3 + 1 as day, concat('arm', cast(o_custkey % 4 as string)) as arm, o_orderpriority as kase, o_orderkey as rep, cast(round(o_totalprice) as bigint) as p99, o_orderstatus as state from {orders}")
 view("requests", "select event_id as id, user_id % 4 as queue, user_id % 8 as image, case event_type when 'error' then 'ZERO' when 'signup' then 'FLUSH' when 'purchase' then 'WRITE' when 'click' then 'DISCARD' else 'READ' end as kind, (event_id * 7) % 4096 * 1024 as offset_, (1 + event_id % 9) * case when event_id % 50 = 0 then 100 else 4096 end as length_ from {events}")

@@ -4,7 +4,7 @@ import random
 
 from blockdb.functions import scalar
 from blockdb.operators import folds, store
-from blockdb.operators.sequence import running_base
+from blockdb.operators.sequence import first_rows, last_before, previous, running_base, running_bases
 from blockdb.plans import store_queries
 from pyspark.sql import functions as F
 
@@ -80,6 +80,38 @@ def test_levels_of_sums(spark):
         seen[i % 2] += 1
 
 
+def test_carried_values(spark):
+    """Values carried over ranges and ranges of ranges, ties of the order included, against a loop."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice((5, 9000, 50_000_000)) * rng.randrange(1, 9), i % 2, rng.choice((None, None, i)), rng.choice((None, i))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, t long, g long, v long, size long")
+    carried = {r.id: r.last for r in last_before(df, F.col("v"), "t", "last", ["g"], "id").collect()}
+    before = {r.id: r.prev for r in previous(df, "t", {"prev": "id"}, ["g"], "id").collect()}
+    sums = {r.id: (r.a, r.b) for r in running_bases(df, {"a": F.col("size"), "b": F.lit(2)}, "id", ["g"]).collect()}
+    last, prev = {}, {}
+    for i, _, g, v, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        assert carried[i] == last.get(g) and before[i] == prev.get(g)
+        last[g], prev[g] = last.get(g) if v is None else v, i
+    assert sums == {i: (sum(r[4] or 0 for r in rows[:i] if r[2] == g), 2 * sum(r[2] == g for r in rows[:i])) for i, _, g, _, _ in rows}
+    newest = {(r.g, r.id) for r in first_rows(df, 7, [F.desc("t"), F.desc("id")], ["g"], "id").collect()}
+    assert newest == {(g, r[0]) for g in (0, 1) for r in sorted((r for r in rows if r[2] == g), key=lambda r: (-r[1], -r[0]))[:7]}
+
+
+def test_hysteresis(spark):
+    rng = random.Random(8)
+    rows = [(i % 3, i * 700, rng.choice((10, 59, 60, 74, 75, 80, 99, 100, 120))) for i in range(300)]
+    want = {}
+    for image in range(3):
+        stopped, steps, stops, stopped_steps, compaction = False, 0, 0, 0, 0
+        for _, _, used in (r for r in rows if r[0] == image):
+            stops += used >= 100 and not stopped
+            stopped = used >= 100 or (stopped and used >= 60)
+            steps, stopped_steps, compaction = steps + 1, stopped_steps + stopped, compaction + (stopped or used >= 75)
+        want[image] = (steps, stops, stopped_steps, compaction)
+    got = folds.hysteresis(spark.createDataFrame(rows, "image int, n long, used long")).collect()
+    assert {r.image: (r.steps, r.stops, r.stopped_steps, r.compaction_steps) for r in got} == want
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("00000000000000000012", "sent 1,234 bytes  received 56 bytes", "<b> <a> <b>"), ("00000000000000000000", "x", ""), ("12", "sent 7", "<A>")], "name string, line string, plan string")
     rows = df.select(scalar.segment_number(F.col("name")), scalar.transferred(F.col("line"), "sent"), scalar.placeholders(F.col("plan"))).collect()
