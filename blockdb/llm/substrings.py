@@ -341,7 +341,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """`docs` with the repeated words taken out of their texts: kept words joined by one space; untouched texts stay as they are."""
+    """`docs` with the repeated words taken out of their texts: kept words joined by one space; untouched texts stay as they are. A column n_chars follows the text."""
     rows, seed = _rows(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
     out = _finish(rows, seed, True)
-    return out.select(*(F.col("out").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    left = {"text": F.col("out")}
+    if "n_chars" in docs.columns:
+        left["n_chars"] = F.when(F.col("n_removed") > 0, F.length("out").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(left[c].alias(c) if c in left else F.col(f"row.`{c}`") for c in docs.columns))

@@ -35,6 +35,7 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in seen[1].collect()} == set(range(40)) - {3, 7}
     kept = {r.doc_id: r.text for r in seen[2].collect()}
     assert passage not in kept[5] and passage not in kept[6] and kept[0] == texts[0]
+    assert all(r.n_chars == len(r.text) for r in seen[2].collect())
     assert {r.doc_id for r in seen[3].collect()} == set(kept)
     assert {r.doc_id for r in seen[4].collect()} == set(kept)
     assert sum(r.length for r in seen[4].collect()) > 0
