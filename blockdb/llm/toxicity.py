@@ -2,7 +2,7 @@
 
 A sentence's score is logistic in its hashed words; a document's is the noisy-or of its sentences, 1 - prod(1 - s). Weights are learned from document
 labels alone, on a bounded sample of labelled rows of the training folds (`MOST_LABELLED` documents, evenly of both labels where there are enough, those of the
-smallest hash). A fifth of the sample is held back to place the cut at 0.7. Whole texts of all documents are then scored where they lie, with no shuffle, and the offending sentences are located.
+smallest hash, as long as they have at most `MOST_CHARS` characters together; a document of over `LONGEST` characters is scored but not learned from). A fifth of the sample is held back to place the cut at 0.7. Whole texts of all documents are then scored where they lie, with no shuffle, and the offending sentences are located.
 
 Nulls: a null text is empty and gets the score of a document without sentences, 0. Labels that are null, or of other documents, are not used; a repeated
 label counts once. Null doc_ids are scored and count as not held out. Without both labels in the sample every score is 0.
@@ -15,13 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockdb.llm import common, text
 
 FEATURES = 1 << 18
 MOST_LABELLED = 8000
+MOST_CHARS = 64_000_000
+LONGEST = 1_000_000
 CUT = 0.7
 BEGINNINGS = (5, 6, 7, 8)
 ENDS = np.zeros(256, bool)
@@ -158,8 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     half = lambda y: known.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(most // 2)
     sample = half(0).unionByName(half(1))  # at most `most` rows, hence the broadcast
-    rows = common.text_rows(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("h", "doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["h", "doc_id"])
+    rows = common.text_rows(docs).where(F.length("text") <= LONGEST).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    rows = rows.withColumn("so_far", F.sum(F.length("text")).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # of the sample alone
+    rows = rows.where(F.col("so_far") <= MOST_CHARS).select("h", "doc_id", "text", "toxic").toPandas().sort_values(["h", "doc_id"])
     if rows.toxic.nunique() < 2:
         return Model(np.zeros(FEATURES, np.float32), -50.0, 1.0)
     return train(rows.text.tolist(), rows.toxic.to_numpy())

@@ -307,6 +307,17 @@ def test_toxicity(spark):
     assert toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int")).score(toxicity.sentences(["a b"]), 1)[0][0] < 1e-6
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 1000)
+    monkeypatch.setattr(toxicity, "LONGEST", 300)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append((texts, labels)) or toxicity.Model(np.zeros(toxicity.FEATURES, np.float32), 0.0, 1.0))
+    df = spark.createDataFrame([(i, "ab " * (200 if i % 3 == 0 else 20)) for i in range(90)], "doc_id long, text string")
+    toxicity.fit(df, spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int"))
+    (texts, labels), = seen
+    assert 0 < sum(map(len, texts)) <= 1000 and {len(t) for t in texts} == {60} and set(labels.tolist()) == {0, 1}
+
+
 def test_warc(spark, tmp_path):
     long = "é" * 600
     rows = [(1, "http://a", long), (2, "http://b", long), (3, None, "short"), (4, "x", "short"), (5, "y", None), (None, "z", long), (2, "http://b", long), (7, "q\r\nWARC-Type: revisit\r\n", "<p>" * 500)]
