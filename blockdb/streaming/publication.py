@@ -49,10 +49,14 @@ def compact_stream(mutations: DataFrame, folder: str, checkpoint: str):
     """Each micro-batch becomes a version: payloads first, then extents, then the version's row, which makes it visible. A batch run again replaces its own files."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = wal.overlay(batch)
-        rows.where("payload is not null").select("payload").distinct().write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")
-        rows.write.mode("overwrite").parquet(f"{folder}/extents/batch={number}")
-        batch.agg(F.lit(number).alias("generation"), F.max("seq").alias("durable"), F.count(F.lit(1)).alias("mutations")).write.mode("overwrite").parquet(f"{folder}/versions/batch={number}")
+        batch.persist()  # read three times
+        try:
+            rows = wal.overlay(batch)
+            rows.where("payload is not null").select("payload").distinct().write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")
+            rows.write.mode("overwrite").parquet(f"{folder}/extents/batch={number}")
+            batch.agg(F.lit(number).alias("generation"), F.max("seq").alias("durable"), F.count(F.lit(1)).alias("mutations")).write.mode("overwrite").parquet(f"{folder}/versions/batch={number}")
+        finally:
+            batch.unpersist()
 
     return mutations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
