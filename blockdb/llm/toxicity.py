@@ -160,9 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     half = lambda y: known.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(most // 2)
     sample = half(0).unionByName(half(1))  # at most `most` rows, hence the broadcast
-    rows = common.text_rows(docs).where(F.length("text") <= LONGEST).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    rows = rows.withColumn("so_far", F.sum(F.length("text")).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # of the sample alone
-    rows = rows.where(F.col("so_far") <= MOST_CHARS).select("h", "doc_id", "text", "toxic").toPandas().sort_values(["h", "doc_id"])
+    texts = common.text_rows(docs).withColumn("size", F.length("text")).where(F.col("size") <= LONGEST)
+    sizes = texts.select("doc_id", "size").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "h", "toxic").agg(F.min("size").alias("size"))
+    so_far = F.sum("size").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # numbers of the sample alone
+    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= MOST_CHARS).drop("so_far")
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "size"]).dropDuplicates(["doc_id"]).select("h", "doc_id", "text", "toxic").toPandas()
+    rows = rows.sort_values(["h", "doc_id"])
     if rows.toxic.nunique() < 2:
         return Model(np.zeros(FEATURES, np.float32), -50.0, 1.0)
     return train(rows.text.tolist(), rows.toxic.to_numpy())
