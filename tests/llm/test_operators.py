@@ -395,6 +395,55 @@ def test_lm_learns_from_every_block():
         assert learned * contexts == counted > 0
 
 
+def gather_rows(chunks):
+    """What lm._gather yields for training texts, chunk by chunk."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([c] * len(t), pa.int32()), pa.array(t), pa.array([True] * len(t))], ["chunk", "text", "train"]) for c, t in enumerate(chunks)]
+    return [r for b in lm._gather(iter(batches), 4) for r in b.to_pylist()]
+
+
+def spelling_counts(rows):
+    out = np.zeros((len(lm.ORDERS) * lm.SLOTS // lm.TABLE_BLOCK, 2 * lm.TABLE_BLOCK), np.int64)
+    for r in rows:
+        if r["kind"] == 1:
+            out[r["part"], np.frombuffer(r["a"], np.int32)] += np.frombuffer(r["b"], np.int32)
+    return out
+
+
+def test_lm_spells_every_occurrence():
+    """Repeats count, within a text, a chunk and between chunks; only words that a chunk alone has too often to be spelled are left out."""
+    rng = random.Random(15)
+    lexicon = ["a", "bc", "bcd", "x1", "caf\u00e9", "\u65e5\u672c", "long" * 12, "zebra"]
+    texts = [" ".join(rng.choice(lexicon) for _ in range(3)) for _ in range(12)] + ["bcd bcd bcd", "", "often " * lm.SPELLED_BELOW]
+    bits = 0
+    for word in (w for t in texts for w in t.split() if w != "often"):
+        bits += 5 * (len(word.encode()) + 1) + 8 * sum(int(lm.CODE[b]) == 31 for b in word.encode())
+    one = gather_rows([texts])
+    assert spelling_counts(one).sum() == bits * len(lm.ORDERS)
+    assert sum(np.frombuffer(r["a"], np.float64)[-1] for r in one if r["kind"] == 2) == bits
+    assert (spelling_counts(gather_rows([texts[:5], texts[5:9], texts[9:]])) == spelling_counts(one)).all()
+
+
+def test_lm_spelling_is_learned_online(monkeypatch):
+    """The bits of words are predicted by the counts of words before them, and counted then."""
+    seen = []
+    learn = lm.Mixer.learn
+    monkeypatch.setattr(lm.Mixer, "learn", lambda self, counts, e, *a, **k: seen.append(int(counts[0].sum())) or learn(self, counts, e, *a, **k))
+    gather_rows([["one two three"], ["four five"]])
+    assert seen == [0, 5 * (4 + 4 + 6)]
+
+
+def test_lm_symbols_computed_once():
+    """Words that are spelled together score as each does alone."""
+    rng = np.random.default_rng(16)
+    model = lm.Model(rng.integers(0, 50, (len(lm.ORDERS), lm.SLOTS, 2)).astype(np.float32), rng.normal(size=(lm.GATES, len(lm.ORDERS) + 1)).astype(np.float32), rng.uniform(0.1, 0.9, (lm.REFINED, lm.BUCKETS)).astype(np.float32)).prepare()
+    data = np.frombuffer("banana ananas na \u65e5\u672c x9x9x9x9 banana".encode(), np.uint8)
+    w = lm.text.scan([data.tobytes().decode()])
+    alone = [model.words(w.data, w.start[i : i + 1], w.end[i : i + 1])[0] for i in range(len(w.start))]
+    assert np.allclose(model.words(w.data, w.start, w.end), alone, rtol=1e-6) and alone[0] == alone[-1] != alone[1]
+
+
 def test_lm_capacity_grows(spark, docs, monkeypatch):
     """More training text gets more slots and more frequent tokens, and is scored with them."""
     assert lm.capacity(0) == lm.capacity(1 << 27) == (lm.SLOTS, lm.TOP_WORDS)
