@@ -444,6 +444,29 @@ def test_lm_symbols_computed_once():
     assert np.allclose(model.words(w.data, w.start, w.end), alone, rtol=1e-6) and alone[0] == alone[-1] != alone[1]
 
 
+def test_lm_spelling_costs_by_distinct_symbols(monkeypatch):
+    """Words that share their symbols and the bytes before them cost little more than one."""
+    sizes = []
+    bits = lm.Model.bits
+    monkeypatch.setattr(lm.Model, "bits", lambda self, e: sizes.append(len(e.bit)) or bits(self, e))
+    model = lm.Model(np.zeros((len(lm.ORDERS), lm.SLOTS, 2), np.float32), np.zeros((lm.GATES, len(lm.ORDERS) + 1), np.float32), np.zeros((0, 0))).prepare()
+    w = lm.text.scan(["abcdefghijklmnop"[:n] + "qrstu" for n in range(1, 17)] * 50)
+    scores = model.words(w.data, w.start, w.end)
+    assert np.allclose(scores, 5 * (w.end - w.start + 1) * math.log10(0.5))
+    assert sum(sizes) < 0.02 * 5 * (w.end - w.start + 1).sum()
+
+
+def test_lm_symbols():
+    """Frequent tokens are found by their hashes, also where many share the upper bits, at both ends and where there are none."""
+    rng = np.random.default_rng(17)
+    hashes = np.unique(np.concatenate((rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), np.arange(7, 40, dtype=np.uint64), np.uint64((1 << 64) - 1) - np.arange(20, dtype=np.uint64))))
+    asked = np.concatenate((hashes, hashes + np.uint64(1), hashes - np.uint64(1), rng.integers(0, 1 << 63, 500).astype(np.uint64)))
+    number = {int(h): i for i, h in enumerate(hashes)}
+    for top in (lm.TopWords.build(hashes, np.ones(len(hashes), np.int64), 3), lm.TopWords.build(hashes[:0], np.zeros(0, np.int64), 3)):
+        known = number if len(top.hash) else {}
+        assert top.symbols(asked).tolist() == [known.get(int(h), len(top.hash)) for h in asked]
+
+
 def test_lm_capacity_grows(spark, docs, monkeypatch):
     """More training text gets more slots and more frequent tokens, and is scored with them."""
     assert lm.capacity(0) == lm.capacity(1 << 27) == (lm.SLOTS, lm.TOP_WORDS)
